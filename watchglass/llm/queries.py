@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchglass.llm import packing
+from watchglass.llm import bpe, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_backtracking_bpe": bpe.query,
     "op2_best_fit_packing": packing.query,
 }
 

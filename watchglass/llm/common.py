@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchglass.plans.lineage import stored
+
+__all__ = ["held_out", "labelled", "stored", "table"]
+
 #: Labelled rows of this fold are held out from training.
 HELD_OUT_FOLD, FOLDS = 0, 5
 
@@ -17,29 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see, as ``spark.checkpoint.dir`` names it.
-
-    Only in local mode with the setting unset (tests) is a folder of this machine taken.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = os.path.join(tempfile.gettempdir(), "watchglass-shared")
-    os.makedirs(folder, exist_ok=True)
-    return f"file://{folder}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text falls in the fold kept from training; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT_FOLD, F.lit(True))

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchglass.llm import bpe, packing
+from watchglass.llm import bpe, packing, quality_rules, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_backtracking_bpe": bpe.query,
     "op2_best_fit_packing": packing.query,
+    "op7_simhash_golay": simhash.query,
+    "op8_url_filter": url_filter.query,
+    "op9_decision_list": quality_rules.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_filter": url_filter.SQL,
+}

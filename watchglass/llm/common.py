@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchglass.plans.lineage import stored
 
-__all__ = ["held_out", "labelled", "stored", "table"]
+__all__ = ["class_share", "held_out", "labelled", "stored", "table"]
 
 #: Labelled rows of this fold are held out from training.
 HELD_OUT_FOLD, FOLDS = 0, 5
@@ -40,3 +40,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) ->
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).filter(F.col("_text").isNotNull())
     rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").collect()  # 2 * per_class ids
     return [(r["_text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"]))]
+
+
+def class_share(labels: DataFrame, label: str) -> float:
+    """Share of label 1 among all training labels, kept off 0 and 1; a half without labels."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).cast("int").isin(0, 1) & ~held_out(F.col("doc_id")))
+    n, ones = known.agg(F.count("*"), F.sum(F.col(label).cast("int"))).first()
+    return ((ones or 0) + 1) / (n + 2)

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchglass.llm import bpe, packing, quality_rules, simhash, url_filter
+from watchglass.llm import bpe, compression, packing, quality_rules, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compression_quality": compression.query,
     "op10_backtracking_bpe": bpe.query,
     "op2_best_fit_packing": packing.query,
+    "op3_toxicity_network": toxicity.query,
     "op7_simhash_golay": simhash.query,
     "op8_url_filter": url_filter.query,
     "op9_decision_list": quality_rules.query,

@@ -1,4 +1,4 @@
-"""Logistic calibration of a single number (Platt), weighted so that classes count as they occur."""
+"""Calibration of a single number, logistic (Platt) or monotone, weighted so that classes count as they occur."""
 
 from __future__ import annotations
 
@@ -33,3 +33,26 @@ def prior_weights(label: np.ndarray, share: float) -> np.ndarray:
 
 def chance(x: np.ndarray, slope: float, intercept: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(slope * np.asarray(x, np.float64) + intercept, -30, 30)))
+
+
+def fit_monotone(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float]]:
+    """Knots of P(label 1) over ``x``, never falling: pool adjacent violators, a knot at the middle of each pool.
+
+    Each class has one more row at either end, so that no chance is 0 or 1.
+    """
+    x, label, weight = (np.asarray(v, np.float64) for v in (x, label, weight))
+    order = np.argsort(x, kind="stable")
+    low, high = (x.min(), x.max()) if len(x) else (0.0, 0.0)
+    rows = [(low, 0.5, 1.0), *zip(x[order], label[order], weight[order], strict=True), (high, 0.5, 1.0)]
+    pools: list[list[float]] = []
+    for at, y, w in rows:
+        pools.append([at * w, y * w, w])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return [a / w for a, _, w in pools], [y / w for _, y, w in pools]
+
+
+def monotone_chance(x: np.ndarray, knots: tuple[list[float], list[float]], slope: float, intercept: float) -> np.ndarray:
+    """The monotone fit with a fiftieth of a logistic one, so that scores rise with ``x`` everywhere."""
+    return 0.98 * np.interp(x, *knots) + 0.02 * chance(x, slope, intercept)

@@ -2,14 +2,14 @@
 
 Two zstandard dictionaries are built from labelled texts. A text is compressed with both, in blocks short enough that
 the dictionary counts throughout a long text and not only at its start. The difference of the compressed sizes over
-their sum, between -1 and 1 at any length, goes through a logistic curve fitted on labelled texts that the
-dictionaries have not seen.
+the text's own size goes through a curve that never falls, fitted on labelled texts that the dictionaries have not
+seen.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchglass.llm.calibration import chance, fit_logistic, prior_weights
+from watchglass.llm.calibration import fit_logistic, fit_monotone, monotone_chance, prior_weights
 from watchglass.llm.common import class_share, held_out, labelled, table
 
 #: Labelled documents of each class that are learned from, at most.
@@ -47,6 +47,10 @@ class Model:
     bad: bytes
     slope: float
     intercept: float
+    knots: tuple[list[float], list[float]] = ((0.0,), (0.5,))
+
+    def chances(self, found: np.ndarray) -> np.ndarray:
+        return monotone_chance(found, self.knots, self.slope, self.intercept)
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         made = []
@@ -66,7 +70,7 @@ def differences(model: Model, texts: Sequence[str]) -> np.ndarray:
         parts = blocks(text)
         if parts:
             a, b = sum([len(good(p)) for p in parts]), sum([len(bad(p)) for p in parts])
-            out[i] = (b - a) / (a + b)
+            out[i] = (b - a) / sum(map(len, parts))
     return out
 
 
@@ -81,11 +85,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     made, rest = [r for i, r in enumerate(rows) if i % 3], rows[::3]
     texts = [[t for t, y in made if y == v] for v in (1, 0)]
     if not all(texts) or len({y for _, y in rest}) < 2:
-        return Model(b" " * 64, b" " * 64, 0.0, float(np.log(share / (1 - share))))
+        return Model(b" " * 64, b" " * 64, 0.0, float(np.log(share / (1 - share))), ((0.0,), (share,)))
     model = Model(*map(_dictionary, texts), 0.0, 0.0)
     marks = np.array([y for _, y in rest])
-    slope, intercept = fit_logistic(differences(model, [t for t, _ in rest]), marks, prior_weights(marks, share))
-    return Model(model.good, model.bad, slope, intercept)
+    found, weight = differences(model, [t for t, _ in rest]), prior_weights(marks, share)
+    slope, intercept = fit_logistic(found, marks, weight)
+    return replace(model, slope=slope, intercept=intercept, knots=fit_monotone(found, marks, weight))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -98,7 +103,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = differences(model, [t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chance(found, model.slope, model.intercept))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.chances(found))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchglass.plans.lineage import stored
 
-__all__ = ["class_share", "held_out", "labelled", "stored", "table"]
+__all__ = ["class_share", "held_out", "labelled", "scored", "stored", "table"]
 
 #: Labelled rows of this fold are held out from training.
 HELD_OUT_FOLD, FOLDS = 0, 5
@@ -47,3 +51,23 @@ def class_share(labels: DataFrame, label: str) -> float:
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).cast("int").isin(0, 1) & ~held_out(F.col("doc_id")))
     n, ones = known.agg(F.count("*"), F.sum(F.col(label).cast("int"))).first()
     return ((ones or 0) + 1) / (n + 2)
+
+
+def scored(docs: DataFrame, chances: Callable[[Sequence[str]], np.ndarray], rows: int = 256) -> DataFrame:
+    """``docs`` with a column ``score`` (one of that name is replaced); ``chances`` gets whole texts, null ones as empty.
+
+    Rows stay where they are: texts pass through in batches of ``rows``, nothing is shuffled or joined.
+    """
+    kept = [f for f in docs.schema.fields if f.name != "score"]
+    slim = docs.select(*[F.col(f"`{f.name}`") for f in kept])
+    at = [f.name for f in kept].index("text")
+    schema = slim.schema.add("score", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                found = pa.array(chances([t or "" for t in part.column(at).to_pylist()]), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "score"])
+
+    return slim.mapInArrow(run, schema)

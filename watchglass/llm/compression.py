@@ -8,17 +8,16 @@ seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchglass.llm.calibration import fit_logistic, fit_monotone, monotone_chance, prior_weights
-from watchglass.llm.common import class_share, held_out, labelled, table
+from watchglass.llm.common import class_share, held_out, labelled, scored, table
 
 #: Labelled documents of each class that are learned from, at most.
 PER_CLASS = 1500
@@ -93,19 +92,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return replace(model, slope=slope, intercept=intercept, knots=fit_monotone(found, marks, weight))
 
 
+def with_score(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``docs`` and ``score``, row by row; a column of that name is replaced."""
+    return scored(docs, lambda texts: model.chances(differences(model, texts)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): the chance of label 1 for each whole text.
 
     A null or empty text has difference 0 and its score is the curve's at 0. A null doc_id stays null; repeated rows
     each give a row; an empty table gives none. Other columns of ``docs`` are not read.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = differences(model, [t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.chances(found))], ["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model).select("doc_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

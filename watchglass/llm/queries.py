@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchglass.llm import bpe, compression, line_dedup, packing, quality_rules, simhash, toxicity, url_filter
+from watchglass.llm import bpe, compression, line_dedup, packing, quality_rules, simhash, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": compression.query,
     "op10_backtracking_bpe": bpe.query,
     "op2_best_fit_packing": packing.query,
     "op3_toxicity_network": toxicity.query,
+    "op4_uniform_threshold_topk": topk.query,
     "op5_line_dedup": line_dedup.query,
     "op7_simhash_golay": simhash.query,
     "op8_url_filter": url_filter.query,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_uniform_threshold_topk": topk.SQL,
     "op8_url_filter": url_filter.SQL,
 }

@@ -11,16 +11,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchglass.llm.calibration import chance, fit_logistic, prior_weights
-from watchglass.llm.common import class_share, held_out, labelled, table
+from watchglass.llm.common import class_share, held_out, labelled, scored, table
 
 #: Labelled documents of each class that are learned from, at most.
 PER_CLASS = 1200
@@ -329,21 +328,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
     return train(labelled(docs, labels, "toxic", per_class), class_share(labels, "toxic"))
 
 
+def with_score(docs: DataFrame, net: Network) -> DataFrame:
+    """All columns of ``docs`` and ``score``, row by row; a column of that name is replaced."""
+    return scored(docs, lambda texts: chance(np.clip(net.logits(texts), -12, 12), *net.curve))
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, score): the chance that each whole text is toxic.
 
     A null, empty or wordless text gets what a clearly clean one gets. A null doc_id stays null; repeated rows each
     give a row; an empty table gives none. Other columns of ``docs`` are not read.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = np.clip(net.logits(part.column(1).to_pylist()), -12, 12)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chance(found, *net.curve))], ["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), net).select("doc_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from watchglass.plans.lineage import stored
 
@@ -61,7 +62,7 @@ def scored(docs: DataFrame, chances: Callable[[Sequence[str]], np.ndarray], rows
     kept = [f for f in docs.schema.fields if f.name != "score"]
     slim = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     at = [f.name for f in kept].index("text")
-    schema = slim.schema.add("score", "double")
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -41,12 +41,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id, and of repeated rows one.
+    """One document of each near-duplicate group: the one with the smallest id.
 
-    Rows with a null id stay only where a whole group has no id.
+    Rows that repeat an id and its text are one document. Rows without an id can't be told apart by it and all stay.
     """
-    found = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.join(found.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    kept = simhash.near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"])
+    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,3 +201,20 @@ def test_whole_triage(spark):
 def test_triage_of_nothing(spark):
     report = triage(table(spark, {}).filter("false"))
     assert report.clusters.count() == 0 and report.exit_code() == 0
+
+
+@pytest.mark.parametrize("bucket", [7, 50, 10_000])
+def test_runs_go_on_over_buckets(spark, bucket):
+    from watchglass.operators.sessions import gap_runs
+
+    rng = random.Random(bucket)
+    rows = [(rng.choice("ab"), rng.randint(-200, 400)) for _ in range(120)]
+    got = sorted((r["k"], r["t"], r["_n"]) for r in gap_runs(spark.createDataFrame(rows, "k string, t long"), ["k"], "t", 5, bucket).collect())
+    expected = []
+    for key in "ab":
+        last, n = None, 0
+        for t in sorted(t for k, t in rows if k == key):
+            n += last is None or t - last > 5
+            last = t
+            expected.append((key, t, n))
+    assert got == expected

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchglass.functions.indicators import indicator_type, severity_hint, valid_techniques
 from watchglass.functions.text import filled
 from watchglass.operators.components import connected_components
+from watchglass.operators.sessions import gap_runs
 from watchglass.plans.schema import Settings, points, priority_rank
 
 LABEL_CHARS = 60
@@ -23,10 +24,8 @@ def sessions(alerts: DataFrame, keys: list[Column], window_minutes: float, scope
     given = [*keys, *([F.coalesce("source_file", F.lit(""))] if scope == "file" else [])]
     rows = alerts.select("seq", F.unix_micros("timestamp").alias("_t"), *[(filled(k) if k is not given[-1] or scope != "file" else k).alias(n) for k, n in zip(given, names, strict=True)])
     rows = rows.dropna(subset=names)
-    by_time = Window.partitionBy(*names).orderBy(F.col("_t").asc_nulls_first(), "seq")
-    gap = F.col("_t") - F.lag("_t").over(by_time)
-    starts = F.when(F.col("_t").isNull(), 0).when(gap.isNull() | (gap > round(window_minutes * 60_000_000)), 1).otherwise(0)
-    numbered = rows.withColumn("_start", starts).withColumn("_n", F.sum("_start").over(by_time))
+    timed = gap_runs(rows.filter(F.col("_t").isNotNull()), names, "_t", round(window_minutes * 60_000_000))
+    numbered = timed.unionByName(rows.filter(F.col("_t").isNull()).withColumn("_n", F.lit(0).cast("long")))
     return numbered.groupBy(*names, "_n").agg(F.min("seq").alias("session")).join(numbered, [*names, "_n"]).select("seq", "session")
 
 

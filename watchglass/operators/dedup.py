@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchglass.functions.text import normal_title
+from watchglass.operators.sessions import gap_runs
 
 
 def fingerprint() -> Column:
@@ -36,20 +37,16 @@ def deduplicate(alerts: DataFrame, window_minutes: float = 30, scope: str = "fil
     if window == 0:
         kept = instants.groupBy("_fp").agg(F.min("_s").alias("_s"))
         return timed.join(kept.select(F.col("_s").alias("seq")), "seq", "left_semi").drop("_fp").unionByName(untimed)
-    # An instant with no other of its fingerprint within the window stays whatever the order: only the rest is folded.
-    by_time = Window.partitionBy("_fp").orderBy("_t")
-    near = (F.col("_t") - F.lag("_t").over(by_time) <= window) | (F.lead("_t").over(by_time) - F.col("_t") <= window)
-    runs = instants.withColumn("_near", F.coalesce(near, F.lit(False))).withColumn("_run", F.sum(F.when(F.col("_t") - F.lag("_t").over(by_time) <= window, 0).otherwise(1)).over(by_time))
-    alone = runs.filter(~F.col("_near")).select("_s")
-    ordered = runs.filter("_near").groupBy("_fp", "_run").agg(F.sort_array(F.collect_list(F.struct("_s", "_t"))).alias("all"))
+    # Only instants of one run, without a gap over the window, can bear on each other.
+    runs = gap_runs(instants, ["_fp"], "_t", window)
+    ordered = runs.groupBy("_fp", "_n").agg(F.sort_array(F.collect_list(F.struct("_s", "_t"))).alias("all"))
 
     def step(kept: Column, row: Column) -> Column:
         return F.when(F.exists(kept, lambda k: F.abs(k["_t"] - row["_t"]) <= window), kept).otherwise(F.concat(kept, F.array(row)))
 
     empty = F.array().cast("array<struct<_s:bigint,_t:bigint>>")
     folded = ordered.select(F.explode(F.aggregate("all", empty, step)).alias("k")).select(F.col("k._s").alias("_s"))
-    kept = alone.unionByName(folded).select(F.col("_s").alias("seq"))
-    return timed.join(kept, "seq", "left_semi").drop("_fp").unionByName(untimed)
+    return timed.join(folded.select(F.col("_s").alias("seq")), "seq", "left_semi").drop("_fp").unionByName(untimed)
 
 
 def dedup_stats(before: DataFrame, after: DataFrame) -> DataFrame:

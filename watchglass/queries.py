@@ -91,7 +91,14 @@ def dedup_untimed(spark, d):
     return dedup.deduplicate(events(spark, d).withColumn("timestamp", F.lit(None).cast("timestamp"))).select("seq")
 
 
-@query("dedup_greedy")
+# Events come in order of time, so the last one kept is all that greedy retention has to look at.
+@query(
+    "dedup_greedy",
+    f"""WITH RECURSIVE {ALERTS}, {FINGERPRINT}, o AS (SELECT seq, fingerprint, ts, row_number() OVER (PARTITION BY fingerprint ORDER BY seq) AS i FROM fp),
+walk AS (SELECT seq, fingerprint, i, ts AS last, true AS kept FROM o WHERE i = 1 UNION ALL
+SELECT o.seq, o.fingerprint, o.i, CASE WHEN o.ts - w.last > INTERVAL 30 MINUTE THEN o.ts ELSE w.last END, o.ts - w.last > INTERVAL 30 MINUTE FROM walk w JOIN o ON o.fingerprint = w.fingerprint AND o.i = w.i + 1)
+SELECT seq FROM walk WHERE kept""",
+)
 def dedup_greedy(spark, d):
     return dedup.deduplicate(events(spark, d), 30).select("seq")
 

@@ -1,7 +1,8 @@
 """Line dedup: lines equal to, or within two edits of, an earlier line are taken out of the corpus.
 
 Two lines within t edits share, if the shorter is cut into t + 1 segments, one of these unchanged, at a place that the
-lengths and the segment's number confine to a few offsets. Each different line files its own segments and looks up
+lengths and the segment's number confine to a few offsets. Their counts of any character differ by no more than two
+for each edit in all, which keeps most lines that share a segment by other ways apart. Each different line files its own segments and looks up
 its substrings at those offsets for every length it may meet (Li et al., "Pass-Join", PVLDB 2011). Candidates are
 verified by bit-parallel edit distance in a band of 2 t + 1 diagonals (Hyyrö 2003), after what both begin and end
 with alike is cut off. All of it is built-in expressions: nothing is handed to Python.
@@ -23,6 +24,8 @@ from watchglass.operators.components import connected_components
 EDITS = 2
 #: Shorter lines are only linked to equal ones.
 LEAST_CHARS = 32
+#: Characters whose counts, modulo 4, are compared before two lines meet, and before they are verified.
+COUNTED, COUNTED_THEN = "ethanoisrd", "lucmpgbfvyw,. "
 #: So many candidate lines' 64-bit hashes (8 MB) are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -61,7 +64,7 @@ def filed_keys(line: Column, edits: int) -> Column:
 
 
 def looked_keys(line: Column, edits: int) -> Column:
-    """Keys of the lines, at most ``edits`` shorter, that this one may be near to."""
+    """Structs (seen, shorter): keys of the lines, at most ``edits`` shorter, that this one may be near to."""
     n, found = F.length(line), []
     for shorter in range(edits + 1):
         length = n - shorter
@@ -69,10 +72,26 @@ def looked_keys(line: Column, edits: int) -> Column:
             start, size = _segment(length, edits, i)
             low, high = max(1 - i, shorter - (edits + 1 - i)), min(i - 1, shorter + edits + 1 - i)
             for offset in range(low, high + 1):
-                found.append(_key(line, length, i, start + offset, size))
+                found.append(F.struct(_key(line, length, i, start + offset, size).alias("seen"), F.lit(shorter > 0).alias("shorter")))
     return F.array(*found)
 
 
+def counts(line: Column, characters: str = COUNTED) -> Column:
+    """Two bits for each of at most 16 characters: how often it is in the line, modulo 4."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(characters):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))  # without walking over the text
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(3).cast("long"), 2 * i))
+    return out
+
+
+def counts_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether counts differ by no more than so many edits can change: two in all for each."""
+    differ, low = a.bitwiseXOR(b), F.lit(0x55555555).cast("long")
+    one, two = differ.bitwiseAND(low), F.shiftright(differ, 1).bitwiseAND(low).bitwiseAND(F.bitwise_not(differ))
+    return F.bit_count(one) + 2 * F.bit_count(two) <= 2 * edits
+
+
 def _alike(a: Column, b: Column, most: Column) -> Column:
     """Length of what both begin with alike, at most ``most``, by halving."""
     steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda s: s <= most)
@@ -148,18 +167,20 @@ def line_links(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     """Pairs (a, b) of different lines, as structs (h1, h2), within ``edits`` edits, both of ``least_chars`` or more."""
     spark = lines.sparkSession
     long_ones = lines.filter(F.length("line") >= least_chars).select("h1", "h2", "line")
-    distinct = long_ones.distinct()
-    filed = distinct.select(F.col("h1").alias("b"), F.explode(filed_keys(F.col("line"), edits)).alias("key"))
-    looked = distinct.select(F.col("h1").alias("a"), F.explode(looked_keys(F.col("line"), edits)).alias("seen"))
-    met = looked.join(filed, (F.col("key") == F.col("seen")) & (F.col("a") != F.col("b")))
+    distinct = long_ones.distinct().select("h1", "line", counts(F.col("line")).alias("n"))
+    filed = distinct.select(F.col("h1").alias("b"), F.col("n").alias("b_n"), F.explode(filed_keys(F.col("line"), edits)).alias("key"))
+    looked = distinct.select(F.col("h1").alias("a"), F.col("n").alias("a_n"), F.inline(looked_keys(F.col("line"), edits)))
+    # Of two lines of one length, each would find the other: one of them looking is enough.
+    once = (F.col("a") != F.col("b")) & (F.col("shorter") | (F.col("a") < F.col("b")))
+    met = looked.join(filed, (F.col("key") == F.col("seen")) & once & counts_near(F.col("a_n"), F.col("b_n"), edits))
     pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-candidates")
     del filed, looked, met
     _release(spark)
     ids = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_LINES else ids
     texts = stored(long_ones.join(ids, "h1", "left_semi").distinct(), "line-texts")
-    side = lambda name: texts.select(F.col("h1").alias(name), F.struct("h1", "h2").alias(f"{name}_id"), F.col("line").alias(f"{name}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda name: texts.select(F.col("h1").alias(name), F.struct("h1", "h2").alias(f"{name}_id"), F.col("line").alias(f"{name}_line"), counts(F.col("line"), COUNTED_THEN).alias(f"{name}_n"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(counts_near(F.col("a_n"), F.col("b_n"), edits))
     near = both.filter(edit_distance(F.col("a_line"), F.col("b_line"), edits) <= edits)
     return stored(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "line-links")
 

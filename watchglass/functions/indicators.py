@@ -13,10 +13,11 @@ from watchglass.functions.text import filled, let
 
 def refang(text: Column) -> Column:
     """Masked indicators as they were meant (``hxxp[://]evil[.]com``); invisible characters are taken out."""
-    out = F.translate(text, P.INVISIBLE, "")
+    out = seen = F.when(text.rlike(f"[{P.INVISIBLE}]"), F.translate(text, P.INVISIBLE, "")).otherwise(text)
     for pattern, replacement in P.REFANG:
         out = F.regexp_replace(out, pattern, replacement)
-    return out
+    # What every one of the patterns needs; most texts have none of it.
+    return F.when(seen.rlike(r"(?i)\[[.:/d:a]|\([.da]|\{[.da]|hxxp|hxtp|fxp|[．＠：／]"), out).otherwise(seen)
 
 
 def defang(text: Column) -> Column:
@@ -38,6 +39,11 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _where(needed: Column, found: Column) -> Column:
+    """Matches, sought only where a text has what each of them needs."""
+    return F.when(needed, found).otherwise(F.array().cast("array<string>"))
+
+
 def is_ipv4(text: Column) -> Column:
     return text.rlike(rf"^(?:{P.IPV4})$(?!\n)")
 
@@ -94,29 +100,31 @@ def extract_indicators(text: Column) -> Column:
     """All indicators in a text, different ones in code-point order; an empty array for none or null."""
 
     def found(t: Column) -> Column:
-        urls = F.transform(_all(t, "(?iU)" + P.URL.removeprefix("(?i)")), lambda u: F.regexp_replace(u, P.URL_TAIL, ""))
+        colon, hexadecimal = t.contains(":"), t.rlike("[0-9A-Fa-f]{32}")
+        urls = F.transform(_where(t.contains("://"), _all(t, "(?iU)" + P.URL.removeprefix("(?i)"))), lambda u: F.regexp_replace(u, P.URL_TAIL, ""))
         urls = F.filter(urls, lambda u: F.length(u) > F.length(F.substring_index(u, "://", 1)) + 3)
-        ipv4 = F.filter(_all(t, _within(P.IPV4)), lambda a: ~is_private_ipv4(a))
-        ipv6 = F.filter(_all(t, "(?U)" + P.IPV6), lambda a: is_ipv6(a) & ~_is_loopback6(a))
-        domains = F.filter(_all(t, _within(P.DOMAIN)), lambda d: ~top_level(d).isin(*P.INTERNAL_TLDS))
-        tlsh = _all(t, _within(P.TLSH))
-        first = F.concat(urls, _all(t, _within(P.EMAIL)), ipv4, ipv6, domains, _all(t, _within(P.FILENAME)), _all(t, _within(P.SSDEEP)), tlsh)
+        ipv4 = F.filter(_where(t.rlike(r"(?U)\d\.\d"), _all(t, _within(P.IPV4))), lambda a: ~is_private_ipv4(a))
+        ipv6 = F.filter(_where(colon, _all(t, "(?U)" + P.IPV6)), lambda a: is_ipv6(a) & ~_is_loopback6(a))
+        domains = F.filter(_where(t.rlike(r"[A-Za-z0-9]\.[A-Za-z0-9]"), _all(t, _within(P.DOMAIN))), lambda d: ~top_level(d).isin(*P.INTERNAL_TLDS))
+        emails = _where(t.contains("@"), _all(t, _within(P.EMAIL)))
+        files = _where(t.rlike(r"[A-Za-z0-9_\-]\.[A-Za-z]"), _all(t, _within(P.FILENAME)))
+        first = F.concat(urls, emails, ipv4, ipv6, domains, files, _where(colon, _all(t, _within(P.SSDEEP))), _where(hexadecimal, _all(t, _within(P.TLSH))))
 
         def hashes(before: Column, lengths: tuple[int, ...]) -> Column:
             """Adds hashes, longest first; one that a longer candidate starts with is left out."""
             if not lengths:
                 return before
-            seen = F.filter(F.transform(_all(t, rf"(?U)\b[0-9a-fA-F]{{{lengths[0]}}}\b"), F.lower), lambda h: ~is_null_hash(h))
+            seen = F.filter(F.transform(_where(hexadecimal, _all(t, rf"(?U)\b[0-9a-fA-F]{{{lengths[0]}}}\b")), F.lower), lambda h: ~is_null_hash(h))
             fresh = F.filter(seen, lambda h: ~F.exists(before, lambda e: F.startswith(e, h) & (F.length(e) > F.length(h))))
             return let(F.concat(before, fresh), lambda all_found: hashes(all_found, lengths[1:]))
 
         known = let(first, lambda f: hashes(f, tuple(P.HEX_LENGTHS.values())))
         rest = F.concat(
-            F.filter(F.transform(_all(t, P.KEYED_HASH, 1), F.lower), lambda h: ~is_null_hash(h)),
-            F.transform(_all(t, _within(P.CVE)), F.upper),
-            _all(t, _within(P.TECHNIQUE)),
-            F.transform(_all(t, r"(?iU)\b" + P.REGISTRY.removeprefix("(?i)")), lambda k: F.regexp_replace(k, P.REGISTRY_TAIL, "")),
-            F.transform(_all(t, P.ENCODED, 1), lambda b: F.concat(F.lit(P.ENCODED_PREFIX), b)),
+            F.filter(F.transform(_where(hexadecimal, _all(t, P.KEYED_HASH, 1)), F.lower), lambda h: ~is_null_hash(h)),
+            F.transform(_where(t.contains("-"), _all(t, _within(P.CVE))), F.upper),
+            _where(t.contains("T1"), _all(t, _within(P.TECHNIQUE))),
+            F.transform(_where(t.contains("\\"), _all(t, r"(?iU)\b" + P.REGISTRY.removeprefix("(?i)"))), lambda k: F.regexp_replace(k, P.REGISTRY_TAIL, "")),
+            F.transform(_where(t.rlike("[A-Za-z0-9+/=]{100}"), _all(t, P.ENCODED, 1)), lambda b: F.concat(F.lit(P.ENCODED_PREFIX), b)),
         )
         return F.array_sort(F.array_distinct(F.concat(known, rest)))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchglass.llm import compression, line_dedup, packing, simhash, toxicity
+from watchglass.llm import compression, line_dedup, packing, shingles, simhash, toxicity
 from watchglass.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -43,9 +43,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id.
 
+    Groups are what links lead to: fingerprints as in op7, and five-word shingles of similarity 0.8 or more.
     Rows that repeat an id and its text are one document. Rows without an id can't be told apart by it and all stay.
     """
-    kept = simhash.near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = simhash.near_duplicates(docs, more=shingles.links(docs)).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"])
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 

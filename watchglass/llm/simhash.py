@@ -27,23 +27,31 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the whole text's word shingles, repeats included; zero if it has no words.
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
+    """Hashes (8 bytes each) of the whole text's word shingles, repeats included; a shorter text is one shingle.
 
-    Words are what lies between ASCII white space, with A-Z in lower case. A bit is 1 if it is in over half of the
-    shingles' hashes.
+    Words are what lies between ASCII white space, with A-Z in lower case. Without words there are no shingles.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return b""
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     digest, ends = xxhash.xxh64_digest, ends.tolist()
     if len(words) <= shingle:
-        hashes = digest(joined, seed)
-    else:
-        hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])])  # noqa: B905
+        return digest(joined, seed)
+    return b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])])  # noqa: B905
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the whole text's word shingles, repeats included; zero if it has no words.
+
+    A bit is 1 if it is in over half of the shingles' hashes.
+    """
+    hashes = shingle_hashes(text, shingle, seed)
+    if not hashes:
+        return 0
     n = len(hashes) // 8
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # memory stays bounded for texts of any length
@@ -102,16 +110,20 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return looked.join(filed, (looked.key == filed.key) & close).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, more: DataFrame | None = None) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``; component_id is the smallest doc_id that links lead to.
 
+    ``more`` has further links (a, b) between fingerprints that the rows have.
     Equal fingerprints are linked. A null, empty or blank text has fingerprint zero and is linked like any other. A
     null doc_id never names a component, unless all of a component's ids are null (component_id null). Repeated rows
     each give a row; an empty table gives none. Other columns of ``docs`` are not read.
     """
     marked = stored(fingerprints(docs), "fingerprints")
     groups = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-groups")
-    found = connected_components(links(groups, distance))
+    near = links(groups, distance)
+    if more is not None:
+        near = near.unionByName(more)
+    found = connected_components(near)
     joined = groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(smallest, "root").select("fp", "component_id")

@@ -29,16 +29,20 @@ def sessions(alerts: DataFrame, keys: list[Column], window_minutes: float, scope
     return numbered.groupBy(*names, "_n").agg(F.min("seq").alias("session")).join(numbered, [*names, "_n"]).select("seq", "session")
 
 
+def shared_links(alerts: DataFrame) -> DataFrame:
+    """Edges (a, b) from the least alert of each shared indicator to each of its alerts."""
+    seen = alerts.select("seq", F.explode(F.array_distinct("iocs")).alias("ioc"))
+    least = seen.groupBy("ioc").agg(F.min("seq").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return seen.join(least, "ioc").select("a", F.col("seq").alias("b"))
+
+
 def links(alerts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Edges (a, b) of the graph whose components are clusters.
 
     A shared indicator or a session is a node itself, with an edge to each of its alerts: edges grow with the alerts
     and not with the square of those that share something. Here the node is the least alert of the group.
     """
-    seen = alerts.select("seq", F.explode(F.array_distinct("iocs")).alias("ioc"))
-    least = seen.groupBy("ioc").agg(F.min("seq").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = seen.join(least, "ioc").select("a", F.col("seq").alias("b"))
-    found = shared
+    found = shared_links(alerts)
     for keys in ([F.col("category")], [F.col("source_ip"), F.col("dest_ip")]):
         found = found.unionByName(sessions(alerts, keys, settings.window_minutes, settings.scope).select(F.col("session").alias("a"), F.col("seq").alias("b")))
     return found.filter(F.col("a") != F.col("b"))

@@ -137,6 +137,14 @@ def overlap_components(spark, d):
     return grave.select("seq").join(found, "seq", "left").select("seq", F.coalesce("component", "seq").alias("component"))
 
 
+@query("overlap_components_all")
+def overlap_components_all(spark, d):
+    """As overlap_components, over alerts of every severity; its recursive SQL would form all pairs."""
+    alerts = events(spark, d).withColumn("iocs", F.array_compact(F.array(F.concat(F.lit("u"), "user"), F.concat(F.lit("h"), F.date_trunc("hour", "timestamp").cast("string")))))
+    found = connected_components(clustering.shared_links(alerts)).withColumnRenamed("node", "seq")
+    return alerts.select("seq").join(found, "seq", "left").select("seq", F.coalesce("component", "seq").alias("component"))
+
+
 @query("priority_histogram", WITH + "SELECT priority, count(*) AS clusters, sum(alert_count)::BIGINT AS alerts FROM clusters GROUP BY priority")
 def priority_histogram(spark, d):
     return session_clusters(spark, d).groupBy("priority").agg(F.count("*").alias("clusters"), F.sum("alert_count").alias("alerts"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: (kind, severity, pattern). Encoded text is no sign in an indicator.
 KINDS = (
@@ -19,8 +22,30 @@ FIELDS = ("title", "description", "category", "source", "user", "host")
 MARK = "[REDACTED:INJECTION]"
 
 
+BEYOND_ASCII = r"[^\x00-\x7F]"
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(texts, form="NFKC")
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(lists: pa.Array) -> pa.Array:
+    return pa.array([None if values is None else pc.utf8_normalize(pa.array(values, pa.string()), form="NFKC").to_pylist() for values in lists.to_pylist()], pa.list_(pa.string()))
+
+
+def normal(text: Column) -> Column:
+    """A text in the form NFKC, which folds full width and other compatible characters; Python sees only non-ASCII ones."""
+    return F.coalesce(_nfkc(F.when(text.rlike(BEYOND_ASCII), text)), text)
+
+
+def normal_each(texts: Column) -> Column:
+    return F.coalesce(_nfkc_each(F.when(F.exists(texts, lambda v: v.rlike(BEYOND_ASCII)), texts)), texts)
+
+
 def kinds(text: Column, of_indicator: bool = False) -> Column:
-    """Kinds found in a text, in the order of the list."""
+    """Kinds found in a text of form NFKC, in the order of the list."""
     return F.filter(F.array(*[F.when(text.rlike(p), k) for k, _, p in KINDS if not (of_indicator and k == "encoded_payload")]), lambda k: k.isNotNull())
 
 
@@ -35,7 +60,8 @@ def scan(alerts: DataFrame, allowed: str | None = None) -> DataFrame:
     rows = alerts.select("seq", F.explode(F.concat(F.array(*[pair(f, F.col(f)) for f in FIELDS]), raw, iocs)).alias("x")).select("seq", "x.*").filter(F.col("value").isNotNull())
     if allowed:
         rows = rows.filter(~F.col("value").rlike(allowed))
-    value = F.col("value")
+    value = F.col("_normal")
+    rows = rows.withColumn("_normal", normal(F.col("value")))
     found = rows.withColumn("pattern_type", F.explode(F.when(F.startswith("field", F.lit("ioc.")), kinds(value, True)).otherwise(kinds(value))))
     severity = F.lit(None).cast("string")
     for kind, level, _ in KINDS:
@@ -45,5 +71,7 @@ def scan(alerts: DataFrame, allowed: str | None = None) -> DataFrame:
 
 def redact_injections(alerts: DataFrame) -> DataFrame:
     """Alerts with fields that try to instruct replaced, and such indicators taken out."""
-    out = alerts.withColumns({f: F.when(F.size(kinds(F.col(f))) > 0, F.lit(MARK)).otherwise(F.col(f)) for f in FIELDS})
-    return out.withColumn("iocs", F.filter("iocs", lambda v: F.size(kinds(v, True)) == 0))
+    plain = alerts.withColumns({f"_{f}": normal(F.col(f)) for f in FIELDS} | {"_iocs": normal_each(F.col("iocs"))})
+    out = plain.withColumns({f: F.when(F.size(kinds(F.col(f"_{f}"))) > 0, F.lit(MARK)).otherwise(F.col(f)) for f in FIELDS})
+    out = out.withColumn("iocs", F.filter("iocs", lambda v, i: F.size(kinds(F.get("_iocs", i), True)) == 0))
+    return out.select(*alerts.columns)

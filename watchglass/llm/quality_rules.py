@@ -19,8 +19,8 @@ SPACE = r"\x20\x09-\x0D"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Labelled documents of each class that the list is learned from, at most.
 PER_CLASS = 4000
-#: Least precision of a rule, documents it must cover, conditions in it, rules in the list, thresholds tried per statistic.
-PRECISION, COVERED, CONDITIONS, MOST_RULES, THRESHOLDS = 0.95, 10, 3, 8, 60
+#: Least precision of a rule, documents it must cover, conditions in it, rules in the list.
+PRECISION, COVERED, CONDITIONS, MOST_RULES = 0.95, 10, 3, 8
 
 Condition = tuple[str, str, float]
 OPERATORS = {">=": operator.ge, "<": operator.lt}
@@ -125,12 +125,9 @@ def _grown(rows: Sequence[Row]) -> list[Condition]:
         best: tuple[float, Condition] | None = None
         for name in sorted(rows[0][0]):
             ordered = sorted((values[name], target) for values, target in rows)
-            places = range(1, len(ordered), max(1, len(ordered) // THRESHOLDS))
-            below, at = [0, 0], 0
-            for k in places:
-                while at < k:
-                    below[ordered[at][1]] += 1
-                    at += 1
+            below = [0, 0]
+            for k in range(1, len(ordered)):
+                below[ordered[k - 1][1]] += 1
                 # ties belong to one side
                 if ordered[k - 1][0] == ordered[k][0]:
                     continue

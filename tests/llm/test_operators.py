@@ -175,18 +175,23 @@ def test_banded_distance(spark, edits):
         assert r["near"] or true > edits
 
 
-def test_line_dedup_matches_all_pairs(spark):
+@pytest.mark.parametrize(("edits", "chars"), [(2, 8), (2, 2), (1, 5)])
+def test_line_dedup_matches_all_pairs(spark, edits, chars):
+    """Lines of 1 to 45 characters, against the edit distance of all pairs."""
     rng = random.Random(3)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(28, 45))) for _ in range(12)]
-    docs = [(rng.choice([i, i, i, None]), "\n".join(rng.choice(["", "short line", "  ", rng.choice(base), changed(rng, rng.choice(base), rng.randint(0, 3))]) for _ in range(rng.randint(0, 6))) if i % 7 else None) for i in range(40)]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in [*range(1, 20), 23, 27, 30, 31, 32, 33, 36, 40, 45]]
+    docs = [(rng.choice([i, i, i, None]), "\n".join(rng.choice(["", "short line", "  ", rng.choice(base), changed(rng, rng.choice(base), rng.randint(0, 3))]) for _ in range(rng.randint(0, 9))) if i % 7 else None) for i in range(60)]
     docs += docs[:3]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = line_dedup.dedup_lines(df.withColumn("src", F.col("text")).withColumn("n_near", F.lit("clash"))).collect()
+    clashes = {c: F.lit("clash") for c in ("n_near", "_doc", "_mark", "_dropped", "_near", "mark", "dropped", "row", "a.b", "c`d")}
+    got = line_dedup.dedup_lines(df.withColumn("src", F.col("text")).withColumns(clashes), edits, chars)
+    assert [c for c in got.columns if c in clashes] == [*list(clashes)[1:], "n_near"]
+    got = got.collect()
     mark = {(r["doc_id"], r["text"]): r["m"] for r in df.select("doc_id", "text", F.xxhash64("text").alias("m")).collect()}
     place = lambda k, p: (k[0] is None, k[0] or 0, mark[k], p)
     seen = [(place(k, p), line) for k in set(docs) if k[1] is not None for p, line in enumerate(k[1].split("\n")) if re.search("[^ \t-\r]", line)]
     lines = sorted({x[1] for x in seen})
-    parent = {x: x for x in lines}
+    parent, links = {x: x for x in lines}, 0
 
     def find(x):
         while parent[x] != x:
@@ -195,8 +200,9 @@ def test_line_dedup_matches_all_pairs(spark):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if min(len(a), len(b)) >= 32 and distance(a, b) <= 2:
-                parent[find(a)] = find(b)
+            if distance(a, b) <= min(edits, min(len(a), len(b)) // chars):
+                parent[find(a)], links = find(b), links + 1
+    assert links > 5
     first = {}
     for p, line in sorted(seen):
         first.setdefault(find(line), (p, line))
@@ -208,7 +214,28 @@ def test_line_dedup_matches_all_pairs(spark):
         stays = [line for p, line in enumerate(k[1].split("\n")) if not re.search("[^ \t-\r]", line) or first[find(line)][0] == place(k, p)]
         assert r["text"] == "\n".join(stays)
     assert len(got) == len(docs)
+
+
+def test_line_dedup_edges(spark):
+    """Frequent lines, very long lines and texts, an empty table."""
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
+    long_line = "word and " * 40_000
+    docs = [(i, "one very common line of text\n" * 3 + f"own line number {i * 7919} of this text") for i in range(500)]
+    docs += [(1000, long_line), (1001, long_line[:-3] + "or "), (1002, "\n".join(f"{i * i} squares {i}" for i in range(20_000)))]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum("common" in r["text"] for r in got.values()) == 1 and got[0]["text"].count("common") == 1
+    assert got[1000]["text"] == long_line and got[1001]["text"] == "" and got[1001]["n_near"] == 1
+    assert got[1002]["n_lines"] == 20_000
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_frequent_keys_join_like_others(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", most)
+    rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(k + 1)] + [(None, 1)], "k long, i int")
+    groups = spark.createDataFrame([(k, f"v{k}", k + 1) for k in range(5)], "k long, v string, n int")
+    got = line_dedup._joined(rows, ["k"], groups, "v", "n", 20).collect()
+    assert sorted((r["k"], r["i"], r["v"]) for r in got if r["k"] is not None) == [(k, i, f"v{k}" if k < 5 else None) for k in range(6) for i in range(k + 1)]
+    assert [r["v"] for r in got if r["k"] is None] == [None]
 
 
 # top k

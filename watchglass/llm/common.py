@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from watchglass.plans.lineage import stored
 
-__all__ = ["class_share", "held_out", "labelled", "scored", "stored", "table"]
+__all__ = ["class_share", "held_out", "labelled", "quoted", "scored", "stored", "table"]
 
 #: Labelled rows of this fold are held out from training.
 HELD_OUT_FOLD, FOLDS = 0, 5
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name for Spark, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text falls in the fold kept from training; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT_FOLD, F.lit(True))

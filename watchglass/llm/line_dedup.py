@@ -1,11 +1,14 @@
-"""Line dedup: lines equal to, or within two edits of, an earlier line are taken out of the corpus.
-
-Two lines within t edits share, if the shorter is cut into t + 1 segments, one of these unchanged, at a place that the
-lengths and the segment's number confine to a few offsets. Their counts of any character differ by no more than two
-for each edit in all, which keeps most lines that share a segment by other ways apart. Each different line files its own segments and looks up
-its substrings at those offsets for every length it may meet (Li et al., "Pass-Join", PVLDB 2011). Candidates are
-verified by bit-parallel edit distance in a band of 2 t + 1 diagonals (Hyyrö 2003), after what both begin and end
-with alike is cut off. All of it is built-in expressions: nothing is handed to Python.
+"""Line dedup: lines equal to, or within a few edits of, an earlier line are taken out of the corpus.
+
+Lines are near if they are within one edit for each CHARS characters of the shorter one, and EDITS in all: a bound on
+the rate of edits, so that short lines of different words are not called copies. Two lines within t edits share, if
+the shorter is cut into t + 1 segments, one of these unchanged, at a place that the lengths and the segment's number
+confine to a few offsets. Their counts of any character differ by no more than two for each edit in all, which keeps
+most lines that share a segment by other ways apart. Each different line files its own segments and looks up its
+substrings at those offsets for every length it may meet (Li et al., "Pass-Join", PVLDB 2011), with as many segments
+as each length's bound asks for. Candidates are verified by bit-parallel edit distance in a band of 2 t + 1 diagonals
+(Hyyrö 2003), after what both begin and end with alike is cut off. All of it is built-in expressions: nothing is
+handed to Python.
 
 Equal lines are one line from the start, so copies never meet in the join; verified links go to connected components.
 """
@@ -17,15 +20,16 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchglass.llm.common import stored, table
+from watchglass.llm.common import quoted, stored, table
 from watchglass.llm.quality_rules import SPACE, bound
 from watchglass.operators.components import connected_components
 
-EDITS = 2
-#: Shorter lines are only linked to equal ones.
-LEAST_CHARS = 32
+#: Most edits between near lines, and the characters of the shorter one that each of them takes (two at least).
+EDITS, CHARS = 2, 8
 #: Characters whose counts, modulo 4, are compared before two lines meet, and before they are verified.
 COUNTED, COUNTED_THEN = "ethanoisrd", "lucmpgbfvyw,. "
+#: Keys of fewer rows than this are never frequent ones.
+LEAST_HOT = 1000
 #: So many candidate lines' 64-bit hashes (8 MB) are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -58,22 +62,46 @@ def _key(line: Column, length: Column, number: int, start: Column, size: Column)
     return F.xxhash64(length, F.lit(number), line.substr(start, size))
 
 
-def filed_keys(line: Column, edits: int) -> Column:
+def allowed(length: Column, edits: int = EDITS, chars: int = CHARS) -> Column:
+    """Edits that a line of so many characters is near within."""
+    return F.least(F.lit(edits), F.floor(length / chars)).cast("int")
+
+
+def _by_bound(length: Column, edits: int, chars: int, most_first: list[Column]) -> Column:
+    """The choice, from ``edits`` down to 1, that the bound of a line of ``length`` asks for; null for none."""
+    out = F.when(length >= edits * chars, most_first[0])
+    for t, choice in zip(range(edits - 1, 0, -1), most_first[1:], strict=False):
+        out = out.when(length >= t * chars, choice)
+    return out
+
+
+def filed_keys(line: Column, edits: int, chars: int) -> Column:
     n = F.length(line)
-    return F.array(*[_key(line, n, i, *_segment(n, edits, i)) for i in range(1, edits + 2)])
+    return _by_bound(n, edits, chars, [F.array(*[_key(line, n, i, *_segment(n, t, i)) for i in range(1, t + 2)]) for t in range(edits, 0, -1)])
+
+
+def _sought(line: Column, shorter: int, t: int) -> list[Column]:
+    """Keys of the lines, ``shorter`` characters shorter and of bound ``t``, that this one may be near to."""
+    length, found = F.length(line) - shorter, []
+    for i in range(1, t + 2):
+        start, size = _segment(length, t, i)
+        low, high = max(1 - i, shorter - (t + 1 - i)), min(i - 1, shorter + t + 1 - i)
+        found += [F.struct(_key(line, length, i, start + offset, size).alias("seen"), F.lit(shorter > 0).alias("shorter")) for offset in range(low, high + 1)]
+    return found
 
 
 def looked_keys(line: Column, edits: int) -> Column:
-    """Structs (seen, shorter): keys of the lines, at most ``edits`` shorter, that this one may be near to."""
-    n, found = F.length(line), []
+    """Structs (seen, shorter): keys of the lines, no longer than this one, that it may be near to within ``edits``."""
+    return F.array(*[k for shorter in range(edits + 1) for k in _sought(line, shorter, edits)])
+
+
+def looked_keys_of_short(line: Column, edits: int, chars: int) -> Column:
+    """The same for a line so short that the bound of some lines it may be near to is under ``edits``."""
+    n, none, parts = F.length(line), F.array().cast("array<struct<seen:bigint,shorter:boolean>>"), []
     for shorter in range(edits + 1):
-        length = n - shorter
-        for i in range(1, edits + 2):
-            start, size = _segment(length, edits, i)
-            low, high = max(1 - i, shorter - (edits + 1 - i)), min(i - 1, shorter + edits + 1 - i)
-            for offset in range(low, high + 1):
-                found.append(F.struct(_key(line, length, i, start + offset, size).alias("seen"), F.lit(shorter > 0).alias("shorter")))
-    return F.array(*found)
+        ways = [F.array(*_sought(line, shorter, t)) if t >= shorter else none for t in range(edits, 0, -1)]
+        parts.append(F.coalesce(_by_bound(n - shorter, edits, chars, ways), none))
+    return F.concat(*parts)
 
 
 def counts(line: Column, characters: str = COUNTED) -> Column:
@@ -163,13 +191,22 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(n - m) > edits, F.abs(n - m)).otherwise(bound(_alike(a, b, F.least(n, m)), trimmed))
 
 
-def line_links(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Pairs (a, b) of different lines, as structs (h1, h2), within ``edits`` edits, both of ``least_chars`` or more."""
-    spark = lines.sparkSession
-    long_ones = lines.filter(F.length("line") >= least_chars).select("h1", "h2", "line")
-    distinct = long_ones.distinct().select("h1", "line", counts(F.col("line")).alias("n"))
-    filed = distinct.select(F.col("h1").alias("b"), F.col("n").alias("b_n"), F.explode(filed_keys(F.col("line"), edits)).alias("key"))
-    looked = distinct.select(F.col("h1").alias("a"), F.col("n").alias("a_n"), F.inline(looked_keys(F.col("line"), edits)))
+def different_lines(lines: DataFrame) -> DataFrame:
+    """(h1, h2, line, n, counts) of each different line of ``lines_of``: how often it comes, and its characters' counts."""
+    return lines.groupBy("h1", "h2", "line").agg(F.count("*").alias("n")).withColumn("counts", counts(F.col("line")))
+
+
+def line_links(different: DataFrame, edits: int = EDITS, chars: int = CHARS) -> DataFrame:
+    """Pairs (a, b) of near lines, as structs (h1, h2), among those of ``different_lines``."""
+    if edits < 1 or chars < 2:
+        raise ValueError("an edit takes two characters at least, so that no segment is empty")
+    spark = different.sparkSession
+    long_ones = different.filter(F.length("line") >= chars)
+    filed = long_ones.select(F.col("h1").alias("b"), F.col("counts").alias("b_n"), F.explode(filed_keys(F.col("line"), edits, chars)).alias("key"))
+    # Two plain expressions instead of one that covers all lengths: Java compiles no method of its size.
+    usual, line = F.length("line") >= edits * chars + edits, F.col("line")
+    seek = lambda rows, keys: rows.select(F.col("h1").alias("a"), F.col("counts").alias("a_n"), F.inline(keys))
+    looked = seek(long_ones.filter(usual), looked_keys(line, edits)).unionByName(seek(long_ones.filter(~usual), looked_keys_of_short(line, edits, chars)))
     # Of two lines of one length, each would find the other: one of them looking is enough.
     once = (F.col("a") != F.col("b")) & (F.col("shorter") | (F.col("a") < F.col("b")))
     met = looked.join(filed, (F.col("key") == F.col("seen")) & once & counts_near(F.col("a_n"), F.col("b_n"), edits))
@@ -178,59 +215,86 @@ def line_links(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     _release(spark)
     ids = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_LINES else ids
-    texts = stored(long_ones.join(ids, "h1", "left_semi").distinct(), "line-texts")
+    texts = stored(long_ones.join(ids, "h1", "left_semi").select("h1", "h2", "line"), "line-texts")
     side = lambda name: texts.select(F.col("h1").alias(name), F.struct("h1", "h2").alias(f"{name}_id"), F.col("line").alias(f"{name}_line"), counts(F.col("line"), COUNTED_THEN).alias(f"{name}_n"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(counts_near(F.col("a_n"), F.col("b_n"), edits))
-    near = both.filter(edit_distance(F.col("a_line"), F.col("b_line"), edits) <= edits)
+    bound_of = allowed(F.least(F.length("a_line"), F.length("b_line")), edits, chars)
+    near = both.filter(edit_distance(F.col("a_line"), F.col("b_line"), edits) <= bound_of)
     return stored(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "line-links")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, mark, n_near, dropped): positions of the lines to take out of each text that has any.
+def _joined(rows: DataFrame, keys: list[str], groups: DataFrame, value: str, rows_of_a_group: str, total: int) -> DataFrame:
+    """``rows`` with ``value`` of their group, or null: a left join that no frequent key brings into one task.
+
+    ``groups`` has a row per key and how many rows it has. Of keys with a ten thousandth of all rows or more there are
+    ten thousand at most: these are broadcast, and their rows are dealt by something else in the join with the others.
+    """
+    most = max(LEAST_HOT, total // 10_000)
+    hot = groups.filter(F.col(rows_of_a_group) > most).select(*keys, F.col(value).alias("hot"))
+    rest = groups.filter(F.col(rows_of_a_group) <= most).select(*[F.col(k).alias(f"g_{k}") for k in keys], F.col(value).alias("rest"))
+    known = rows.join(F.broadcast(hot), keys, "left")
+    elsewhere = F.xxhash64(*[F.col(c) for c in rows.columns])
+    known = known.withColumns({f"k_{k}": F.when(F.col("hot").isNull(), F.col(k)).otherwise(elsewhere) for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & (F.col(f"k_{k}") == F.col(f"g_{k}"))
+    joined = known.join(rest, condition, "left")
+    return joined.select(*rows.columns, F.coalesce("hot", "rest").alias(value))
+
+
+def repeated_lines(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> DataFrame:
+    """(doc_id, mark, dropped, near): positions of the lines to take out of each text that has any.
 
     Lines that links lead to form a class; of each class the first line stays, by doc_id (null last), the text's hash
-    and position. n_near counts those taken out for a line that is not equal.
+    and position. ``near`` has the positions of those taken out for a line that is not equal.
     """
     lines = lines_of(docs)
-    found = connected_components(line_links(lines, edits, least_chars)).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), F.col("component").alias("root"))
+    different = stored(different_lines(lines), "different-lines")
     _release(docs.sparkSession)
-    places = lines.select("doc_id", "mark", "pos", "h1", "h2").join(found, ["h1", "h2"], "left")
-    places = places.withColumn("root", F.coalesce("root", F.struct("h1", "h2")))
+    found = connected_components(line_links(different, edits, chars)).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), F.col("component").alias("root"))
+    _release(docs.sparkSession)
+    # Only lines that come again, or that are near to others, can be taken out.
+    met = different.select("h1", "h2", "n").join(found, ["h1", "h2"], "left").filter((F.col("n") > 1) | F.col("root").isNotNull())
+    met = stored(met.withColumn("root", F.coalesce("root", F.struct("h1", "h2"))), "repeated-lines")
+    total = met.agg(F.sum("n")).first()[0] or 0
+    places = _joined(lines.select("doc_id", "mark", "pos", "h1", "h2"), ["h1", "h2"], met, "root", "n", total).filter(F.col("root").isNotNull())
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "pos", "h1", "h2").alias("place")
-    marked = places.select("root", order)
-    first = marked.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    taken = marked.join(first, "root").filter(~F.col("place").eqNullSafe(F.col("first")))
+    marked = stored(places.select(F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2"), order), "line-places")
+    first = stored(marked.groupBy("r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1"), "first-lines")
+    taken = _joined(marked, ["r1", "r2"], first, "first", "n", total).filter(F.col("first").isNotNull() & ~F.col("place").eqNullSafe(F.col("first")))
     near = (F.col("place.h1") != F.col("first.h1")) | (F.col("place.h2") != F.col("first.h2"))
     # Rows with one id and one text come to the same places; each place counts once.
     once = taken.select(F.col("place.doc_id").alias("doc_id"), F.col("place.mark").alias("mark"), F.col("place.pos").alias("pos"), near.alias("near"))
     return once.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("dropped"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> DataFrame:
     """All columns of ``docs``, with the text that stays in ``text``, and n_lines, n_dropped and n_near.
 
-    Lines end at a line feed; those without a word always stay. A null text stays null, with no lines; an empty one
-    stays empty. Rows with a null doc_id come last in the order. Rows that repeat an id and its text are the same
-    document and keep the same lines. Columns of ``docs`` named n_lines, n_dropped or n_near are replaced; all others
-    are handed through. An empty table gives an empty one.
+    Lines end at a line feed; those without a word always stay. Lines are near within one edit for each ``chars``
+    characters of the shorter one, ``edits`` at most; equal ones are near at any length. A null text stays null, with
+    no lines; an empty one stays empty; lines and texts may have any length. Rows with a null doc_id come last in the
+    order. Rows that repeat an id and its text are the same document and keep the same lines. Columns of ``docs``
+    named n_lines, n_dropped or n_near are replaced; all others are handed through, whatever their names. An empty
+    table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_near")]
-    gone = repeated_lines(docs, edits, least_chars).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("dropped").alias("_dropped"), F.size("near").alias("_near"))
-    text = F.col("text").cast("string")
-    whole = docs.select(*names)
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_mark"))
+    gone = repeated_lines(docs.select("doc_id", "text"), edits, chars).select("doc_id", "mark", "dropped", F.size("near").alias("n_near"))
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("row"))  # its columns' names meet no others
+    text = F.col("row")["text"].cast("string")
+    match = F.col("row")["doc_id"].cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("mark"))
     joined = whole.join(gone, match, "left")
     lines = F.split(text, "\n")
 
     def left(all_lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_dropped"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("dropped"))
         return F.array_join(F.transform(kept, lambda i: all_lines[i]), "\n")
 
     return joined.select(
-        *[F.when(F.col("_dropped").isNull(), text).otherwise(bound(lines, left)).alias("text") if c == "text" else F.col(c) for c in names],
+        *[F.when(F.col("dropped").isNull(), text).otherwise(bound(lines, left)).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names],
         F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(f"[^{SPACE}]"))), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).alias("n_dropped"),
-        F.coalesce("_near", F.lit(0)).alias("n_near"),
+        F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"),
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )
 
 

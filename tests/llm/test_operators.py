@@ -287,7 +287,7 @@ def test_phases_resolve_only_what_the_threshold_leaves(size):
 
 
 def test_top_k_of_components_beyond_64_bits(spark):
-    rows = [(50, [-1e17, 1.0]), (1, [1e16, 2.0]), (2, [-3.0, 1.0]), (3, [0.0, 0.5]), (4, [1e-300, 7.0]), (100, [0.0, 0.0]), (100, [0.0, 0.0])]
+    rows = [(51, [-1e17, 1.0]), (1, [1e16, 2.0]), (2, [-3.0, 1.0]), (3, [0.0, 0.5]), (4, [1e-300, 7.0]), (100, [0.0, 0.0]), (100, [0.0, 0.0])]
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, shards=2).filter("query_id = 100").collect()]
     assert sorted(got) == [(100, 1, 1, 0), (100, 1, 1, 0), (100, 2, 2, 0), (100, 2, 2, 0)]
     small = spark.createDataFrame(rows[2:] + [(150, [0.0, 1e15])], "vec_id long, embedding array<double>")

@@ -31,7 +31,6 @@ K, SCALE, SLICES, EVERY = 5, 256, 4, 50
 BLOCK = 512
 #: How whole components are kept; "d" has the unscaled doubles of a block with components beyond 64 bits.
 KINDS = {"b": np.int8, "h": np.int16, "i": np.int32, "q": np.int64, "d": np.float64}
-LONG = np.iinfo(np.int64)
 
 
 def finite(vector: Column) -> Column:
@@ -69,11 +68,8 @@ def _batch(block: int, dim: int, kind: str, ids: np.ndarray, rows: np.ndarray, d
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], NAMES)
 
 
-def _blocks(scale: int, numbered: bool = False):
-    """Blocks of vectors of one dimension from rows (id, vector) or, ``numbered``, (id, vector, row).
-
-    Row numbers tell rows apart that have the same id.
-    """
+def _blocks(scale: int):
+    """Blocks of vectors of one dimension; ``rows`` tells rows apart that have the same id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -86,12 +82,13 @@ def _blocks(scale: int, numbered: bool = False):
             part = held.pop(dim)
             data = np.stack([v for _, _, v in part]) if dim else np.zeros((len(part), 0))
             made += 1
-            return _batch((task << 32) + made, dim, *encode(data, scale)[:1], *(np.array([x[i] for x in part], np.int64) for i in (0, 1)), encode(data, scale)[1])
+            kind, raw = encode(data, scale)
+            return _batch((task << 32) + made, dim, kind, *(np.array([x[i] for x in part], np.int64) for i in (0, 1)), raw)
 
         for batch in batches:
             vectors = batch.column(1)
             flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False))
-            rows = batch.column(2).to_pylist() if numbered else range((task << 33) + row, (task << 33) + row + batch.num_rows)
+            rows = range((task << 33) + row, (task << 33) + row + batch.num_rows)
             row += batch.num_rows
             for vec_id, number, end, dim in zip(batch.column(0).to_pylist(), rows, ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
                 held.setdefault(dim, []).append((vec_id, number, flat[end - dim : end]))
@@ -140,7 +137,7 @@ class Lists:
         part = self.slices[s]
         return self.q[:, part] @ self.v[:, part].T if part.stop > part.start else np.zeros(self.own.shape, self.q.dtype)
 
-    def full(self, j: np.ndarray, at: np.ndarray, known: np.ndarray | None = None, missing: slice | None = None) -> np.ndarray:
+    def full(self, j: np.ndarray, at: np.ndarray, missing: slice | None = None) -> np.ndarray:
         """Scores of the pairs (j, at), a slice's alone if given, in parts of bounded size."""
         out = np.zeros(len(j), self.q.dtype)
         part = missing or slice(0, self.q.shape[1])
@@ -150,7 +147,7 @@ class Lists:
         return out
 
 
-def tops(lists: Lists, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def tops(lists: Lists, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phase one: (query, place, full score) of the top of each slice's list.
 
     ``least`` has for each slice and query the local score that an entry must beat to be among the shard's k best of
@@ -161,7 +158,7 @@ def tops(lists: Lists, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray,
     top = min(k, n)
     for s in range(len(lists.slices)):
         part = lists.local(s)
-        low = -math.inf if part.dtype != object else -(1 << 200)
+        low = {"f": -math.inf, "i": -(1 << 63) + 1, "O": -(1 << 2200)}[part.dtype.kind]  # no score is as low
         part[lists.own] = low
         at = np.argpartition(-part, top - 1, axis=1)[:, :top] if part.dtype != object else np.argsort(-part, axis=1)[:, :top]
         found = np.take_along_axis(part, at, 1)
@@ -172,7 +169,7 @@ def tops(lists: Lists, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray,
     pairs = np.unique(np.concatenate(listed))
     lists.resolved += len(pairs)
     j, at = pairs // max(n, 1), pairs % max(n, 1)
-    yield j, at, lists.full(j, at)
+    return j, at, lists.full(j, at)
 
 
 def collect(lists: Lists, cutoff: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,14 +234,14 @@ def _phases(k: int, first: bool, scale: int):
                     cutoff = [] if first else list(get("cutoff", i))
                 vectors = Block(*(get(c, i) for c in ("dim", "kind", "ids", "rows", "data")), scale)
                 lists = Lists(queries, vectors)
-                for at_query, place, score in tops(lists, k, least) if first else [collect(lists, cutoff)]:
-                    starts = np.flatnonzero(np.diff(at_query, prepend=-1))
-                    for a, b in zip(starts, [*starts[1:], len(at_query)], strict=True):
-                        j, at, found = int(at_query[a]), place[a:b], score[a:b]
-                        if b - a > k and found.dtype != object:  # the best k, ties to smaller ids
-                            chosen = np.lexsort((vectors.ids[at], -found))[:k]
-                            at, found = at[chosen], found[chosen]
-                        best[j] = sorted([*best[j], *zip([-int(x) for x in found], vectors.ids[at].tolist(), strict=True)])[:k]
+                at_query, place, score = tops(lists, k, least) if first else collect(lists, cutoff)
+                starts = np.flatnonzero(np.diff(at_query, prepend=-1))
+                for a, b in zip(starts, [*starts[1:], len(at_query)][: len(starts)], strict=True):
+                    j, at, found = int(at_query[a]), place[a:b], score[a:b]
+                    if b - a > k and found.dtype != object:  # the best k, ties to smaller ids
+                        chosen = np.lexsort((vectors.ids[at], -found))[:k]
+                        at, found = at[chosen], found[chosen]
+                    best[j] = sorted([*best[j], *zip([-int(x) for x in found], vectors.ids[at].tolist(), strict=True)])[:k]
         if queries is not None:
             yield given()
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,34 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends, and lost executors lose nothing."""
+#: Paths written inside each open ``scratch``, the innermost last.
+_open: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: lineage ends, and lost executors lose nothing.
+
+    Inside a ``scratch`` the table goes with it, unless it ``outlives`` it.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _open and not outlives:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that ``stored`` has written, through the file system that holds them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside are removed at the end; no frame that reads them may be used after it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _open.pop())

@@ -1,57 +1,89 @@
 """The corpus pipeline: reject toxic and poor documents, take out repeated lines, keep one of each group, pack.
 
 Each stage takes (spark, docs, sf_dir) and gives a frame, which is written and read again for the next one. All but
-the last give the columns of documents.
+the last give the columns of documents, as they came in but for what the stage changes, whatever other columns there
+are and whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchglass.llm import compression, line_dedup, packing, shingles, simhash, toxicity
-from watchglass.llm.common import stored, table
+from watchglass.llm.common import quoted, stored, table, unused
+from watchglass.plans.lineage import scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _rejected(docs: DataFrame, scored: DataFrame, rejects) -> DataFrame:
-    """Documents without the rejected ones. Scores come in the rows' order, so they need no key and no shuffle."""
-    return scored.filter(~rejects(F.col("score"))).select(*docs.columns)
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the toxicity threshold; the network learns from the labels of the input's documents."""
-    net = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _rejected(docs, toxicity.with_score(docs, net), lambda s: s >= toxicity.THRESHOLD)
+    """Documents under the toxicity threshold; the network learns from the labels of the input's documents.
+
+    A null text is scored as an empty one. Null and repeated ids don't matter: scores come row by row, without a key.
+    """
+    net, name = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), unused(docs.columns, "score")
+    return toxicity.with_score(docs, net, name).filter(F.col(name) < toxicity.THRESHOLD).select(*_columns(docs))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at or over the quality threshold."""
-    model = compression.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _rejected(docs, compression.with_score(docs, model), lambda s: s < compression.THRESHOLD)
+    """Documents at or over the quality threshold; nulls and repeats as for ``drop_toxic``."""
+    model, name = compression.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), unused(docs.columns, "score")
+    return compression.with_score(docs, model, name).filter(F.col(name) >= compression.THRESHOLD).select(*_columns(docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat earlier ones; n_chars follows the text."""
-    done = line_dedup.dedup_lines(docs).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    """Documents without the lines that repeat earlier ones; n_chars follows the text where lines went.
+
+    No document goes, though it may end up empty. A null text stays null. The first line of a class stays, by doc_id
+    (null last), the text's hash and position; rows that repeat an id and its text keep the same lines.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    slim = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others)]).alias("others"))
+    done = line_dedup.dedup_lines(slim)
+
+    def value(c: str) -> Column:
+        if c in ("doc_id", "text"):
+            return F.col(c)
+        given = F.col("others")[f"c{others.index(c)}"]
+        if c != "n_chars":
+            return given.alias(c)
+        return F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(given).alias(c)
+
+    return done.select(*[value(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id.
+    """One document of each near-duplicate group: the first by doc_id (null last), then by the text's hash.
 
-    Groups are what links lead to: fingerprints as in op7, and five-word shingles of similarity 0.8 or more.
-    Rows that repeat an id and its text are one document. Rows without an id can't be told apart by it and all stay.
+    Groups are what links lead to: fingerprints as in op7, and five-word shingles of similarity 0.8 or more. Texts
+    without words, null ones among them, have fingerprint zero and are one group. Of rows that repeat an id and its
+    text the one whose other columns have the least hash stays.
     """
-    kept = simhash.near_duplicates(docs, more=shingles.links(docs)).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    prints = shingles.prints(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("node"))
+    # Copies are one before anything is joined; the least id stands for them.
+    first = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("first"))
+    known = first.join(prints.select("node", "fp"), "node", "left").select(F.coalesce("fp", F.lit(0)).alias("fp"), "first.doc_id", "node")
+    kept = simhash.first_of_groups(known, more=shingles.links(docs, prints))
+    kept = kept.select(F.xxhash64("doc_id", "node").alias("k_at"), F.col("doc_id").alias("k_id"), F.col("node").alias("k_node"))
+    others = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("node"), F.xxhash64(F.lit(0), *others).alias("other"))
+    named = whole.withColumn("at", F.xxhash64("id", "node"))
+    same = (F.col("at") == F.col("k_at")) & (F.col("node") == F.col("k_node")) & F.col("id").eqNullSafe(F.col("k_id"))
+    alike = named.join(kept, same, "left_semi")
+    one = alike.withColumn("nth", F.row_number().over(Window.partitionBy("at", "node", "id").orderBy("other"))).filter("nth = 1")
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null text is an empty one, and each row is a document of its own."""
     return packing.pack_documents(docs, packing.default_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -70,5 +102,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        with scratch(spark):  # what a stage wrote on its way goes when its result is written
+            made = stage(spark, docs, sf_dir)
+            docs = stored(made, name.replace(" ", "-").lower(), outlives=True)
     return docs

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from watchglass.llm import shingles, simhash
 
@@ -42,4 +44,16 @@ def test_pipeline_keeps_one_of_all_near_copies(spark):
 
 
 def test_no_texts_have_no_links(spark):
-    assert shingles.links(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).count() == 0
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert shingles.links(docs, shingles.prints(docs)).count() == 0
+
+
+def test_sketches_never_part_similar_sets():
+    rng = np.random.default_rng(0)
+    for n in (5, 60, 400, 3000):
+        a = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        for m in (0, 1, n // 20, n // 10, n // 5, n // 2):
+            b = np.unique(np.concatenate([a[m:], rng.integers(-(1 << 63), 1 << 63, m)]))
+            differ = int(np.bitwise_count((shingles.sketch(a) ^ shingles.sketch(b)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(a, b))
+            assert not shingles.similar(a, b) or 9 * differ <= len(a) + len(b)

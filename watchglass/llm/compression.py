@@ -21,7 +21,7 @@ from watchglass.llm.common import class_share, held_out, labelled, scored, table
 
 #: Labelled documents of each class that are learned from, at most.
 PER_CLASS = 1500
-BLOCK, DICTIONARY, LEVEL, BLOCKS = 512, 65536, 1, 8000
+BLOCK, DICTIONARY, LEVEL = 512, 65536, 1
 THRESHOLD = 0.3
 
 
@@ -31,11 +31,10 @@ def blocks(text: str) -> list[bytes]:
 
 
 def _dictionary(texts: Sequence[str]) -> bytes:
-    """A dictionary of the texts' blocks, evenly spread over all; raw text where there is too little to train on."""
-    found = [b for t in texts for b in blocks(t) if len(b) >= 64]
-    step = max(1, len(found) // BLOCKS)
+    """A dictionary of all blocks of the texts; raw text where there is too little to train on."""
+    found = [b for t in texts for b in blocks(t)]
     try:
-        return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, found[::step])) // 8)), found[::step]).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, found)) // 8)), found).as_bytes()
     except zstandard.ZstdError:
         return b"".join(found)[-DICTIONARY:]
 
@@ -92,9 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return replace(model, slope=slope, intercept=intercept, knots=fit_monotone(found, marks, weight))
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``score``, row by row; a column of that name is replaced."""
-    return scored(docs, lambda texts: model.chances(differences(model, texts)))
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score under ``name``, row by row; a column of that name is replaced."""
+    return scored(docs, lambda texts: model.chances(differences(model, texts)), name=name)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

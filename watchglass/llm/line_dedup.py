@@ -16,6 +16,7 @@ Equal lines are one line from the start, so copies never meet in the join; verif
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,13 @@ BROADCAST_LINES = 1_000_000
 
 
 def _release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of frames that are no longer named."""
+    """Lets Spark remove the shuffle files of frames that are no longer named.
+
+    Python tells the JVM of objects that it has let go from a thread that looks for them once a second; only then does
+    a collection there find them.
+    """
     gc.collect()
+    time.sleep(2.5)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -75,14 +81,14 @@ def _by_bound(length: Column, edits: int, chars: int, most_first: list[Column])
     return out
 
 
-def filed_keys(line: Column, edits: int, chars: int) -> Column:
-    n = F.length(line)
+def filed_keys(line: Column, n: Column, edits: int, chars: int) -> Column:
+    """Keys of a line of ``n`` characters; counting these anew for each key would take longer than all the rest."""
     return _by_bound(n, edits, chars, [F.array(*[_key(line, n, i, *_segment(n, t, i)) for i in range(1, t + 2)]) for t in range(edits, 0, -1)])
 
 
-def _sought(line: Column, shorter: int, t: int) -> list[Column]:
+def _sought(line: Column, n: Column, shorter: int, t: int) -> list[Column]:
     """Keys of the lines, ``shorter`` characters shorter and of bound ``t``, that this one may be near to."""
-    length, found = F.length(line) - shorter, []
+    length, found = n - shorter, []
     for i in range(1, t + 2):
         start, size = _segment(length, t, i)
         low, high = max(1 - i, shorter - (t + 1 - i)), min(i - 1, shorter + t + 1 - i)
@@ -90,16 +96,16 @@ def _sought(line: Column, shorter: int, t: int) -> list[Column]:
     return found
 
 
-def looked_keys(line: Column, edits: int) -> Column:
+def looked_keys(line: Column, n: Column, edits: int) -> Column:
     """Structs (seen, shorter): keys of the lines, no longer than this one, that it may be near to within ``edits``."""
-    return F.array(*[k for shorter in range(edits + 1) for k in _sought(line, shorter, edits)])
+    return F.array(*[k for shorter in range(edits + 1) for k in _sought(line, n, shorter, edits)])
 
 
-def looked_keys_of_short(line: Column, edits: int, chars: int) -> Column:
+def looked_keys_of_short(line: Column, n: Column, edits: int, chars: int) -> Column:
     """The same for a line so short that the bound of some lines it may be near to is under ``edits``."""
-    n, none, parts = F.length(line), F.array().cast("array<struct<seen:bigint,shorter:boolean>>"), []
+    none, parts = F.array().cast("array<struct<seen:bigint,shorter:boolean>>"), []
     for shorter in range(edits + 1):
-        ways = [F.array(*_sought(line, shorter, t)) if t >= shorter else none for t in range(edits, 0, -1)]
+        ways = [F.array(*_sought(line, n, shorter, t)) if t >= shorter else none for t in range(edits, 0, -1)]
         parts.append(F.coalesce(_by_bound(n - shorter, edits, chars, ways), none))
     return F.concat(*parts)
 
@@ -192,8 +198,8 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 
 
 def different_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, line, n, counts) of each different line of ``lines_of``: how often it comes, and its characters' counts."""
-    return lines.groupBy("h1", "h2", "line").agg(F.count("*").alias("n")).withColumn("counts", counts(F.col("line")))
+    """(h1, h2, line, n, chars, counts) of each different line of ``lines_of``: how often it comes, and its characters."""
+    return lines.groupBy("h1", "h2", "line").agg(F.count("*").alias("n")).withColumns({"chars": F.length("line"), "counts": counts(F.col("line"))})
 
 
 def line_links(different: DataFrame, edits: int = EDITS, chars: int = CHARS) -> DataFrame:
@@ -201,12 +207,13 @@ def line_links(different: DataFrame, edits: int = EDITS, chars: int = CHARS) ->
     if edits < 1 or chars < 2:
         raise ValueError("an edit takes two characters at least, so that no segment is empty")
     spark = different.sparkSession
-    long_ones = different.filter(F.length("line") >= chars)
-    filed = long_ones.select(F.col("h1").alias("b"), F.col("counts").alias("b_n"), F.explode(filed_keys(F.col("line"), edits, chars)).alias("key"))
+    line, n = F.col("line"), F.col("chars")
+    long_ones = different.filter(n >= chars)
+    filed = long_ones.select(F.col("h1").alias("b"), F.col("counts").alias("b_n"), F.explode(filed_keys(line, n, edits, chars)).alias("key"))
     # Two plain expressions instead of one that covers all lengths: Java compiles no method of its size.
-    usual, line = F.length("line") >= edits * chars + edits, F.col("line")
+    usual = n >= edits * chars + edits
     seek = lambda rows, keys: rows.select(F.col("h1").alias("a"), F.col("counts").alias("a_n"), F.inline(keys))
-    looked = seek(long_ones.filter(usual), looked_keys(line, edits)).unionByName(seek(long_ones.filter(~usual), looked_keys_of_short(line, edits, chars)))
+    looked = seek(long_ones.filter(usual), looked_keys(line, n, edits)).unionByName(seek(long_ones.filter(~usual), looked_keys_of_short(line, n, edits, chars)))
     # Of two lines of one length, each would find the other: one of them looking is enough.
     once = (F.col("a") != F.col("b")) & (F.col("shorter") | (F.col("a") < F.col("b")))
     met = looked.join(filed, (F.col("key") == F.col("seen")) & once & counts_near(F.col("a_n"), F.col("b_n"), edits))
@@ -279,7 +286,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> Data
     table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_near")]
-    gone = repeated_lines(docs.select("doc_id", "text"), edits, chars).select("doc_id", "mark", "dropped", F.size("near").alias("n_near"))
+    # Written first, so that its size is known and a small one needs no shuffle of the texts.
+    gone = stored(repeated_lines(docs.select("doc_id", "text"), edits, chars).select("doc_id", "mark", "dropped", F.size("near").alias("n_near")), "lines-to-drop")
     whole = docs.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("row"))  # its columns' names meet no others
     text = F.col("row")["text"].cast("string")
     match = F.col("row")["doc_id"].cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("mark"))
@@ -292,7 +300,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> Data
 
     return joined.select(
         *[F.when(F.col("dropped").isNull(), text).otherwise(bound(lines, left)).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names],
-        F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(f"[^{SPACE}]"))), F.lit(0)).alias("n_lines"),
+        # A match begins at a line's first word and takes the rest of the line.
+        F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}][^\\n]*+")), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"),
         F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )

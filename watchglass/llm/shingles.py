@@ -6,8 +6,11 @@ filter of Chaudhuri et al., ICDE 2006). Each text is filed under these; rarer sh
 passages seldom bring texts together. How common they are is counted in a sample: any order finds every pair, the
 sample only changes how many candidates there are. Candidates are verified by their whole sets.
 
-Texts under one shingle first meet one of them only, another for each shingle. Texts that this leaves in different components then meet
-each other, so a group of near copies never forms all of its pairs, while no component is missed.
+Each set also has a sketch: the parities of its shingles' numbers in BITS classes by their hashes. Parities that differ
+stand for a shingle that is in one set only, so two sketches tell at once of most pairs that they differ too much.
+
+Texts under one shingle first meet one of them only, another for each shingle. Texts that this leaves in different
+components then meet each other, so a group of near copies never forms all of its pairs, while no component is missed.
 """
 
 from __future__ import annotations
@@ -28,7 +31,10 @@ WORDS = 5
 #: Similarity as a fraction, so that a set's least overlap is exact.
 SIMILAR = (4, 5)
 #: About so many texts are looked at for the order; of their shingles, so many of those seen in as many texts come last.
-SAMPLE, COMMON, SEEN = 10_000, 100_000, 3
+SAMPLE, COMMON, SEEN = 20_000, 200_000, 3
+#: Classes whose parities make a sketch, 64 in a word.
+BITS = 512
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -40,6 +46,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the number of shingles in each class, as BITS / 64 integers."""
+    odd = np.bincount((shingles & (BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _first(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest n - ceil(t n) + 1 shingles; ``common`` is sorted."""
     n = len(shingles)
@@ -71,56 +83,90 @@ def _may_be(a: Column, b: Column, a_rest: Column, b_rest: Column) -> Column:
     return (u * F.least(a, b) >= t * F.greatest(a, b)) & ((t + u) * F.least(a_rest, b_rest) >= t * (a + b))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _sketches_near(a: str, b: str) -> Column:
+    """Whether sketches of sets (columns a_s0, ..., with a_n shingles) differ in no more classes than similar sets can.
+
+    Similar sets share t (a + b) / (1 + t) shingles or more, so no more than (1 - t) (a + b) / (1 + t) are in one only.
+    """
+    t, u = SIMILAR
+    differ = sum((F.bit_count(F.col(f"{a}_{s}").bitwiseXOR(F.col(f"{b}_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}_{SKETCH[0]}").bitwiseXOR(F.col(f"{b}_{SKETCH[0]}"))))
+    return (t + u) * differ <= (u - t) * (F.col(f"{a}_n") + F.col(f"{b}_n"))
+
+
+def _side(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, a_fp, b_fp): the similar ones of pairs (a, b) of nodes, with their texts' fingerprints."""
-    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    slim = ["node", "n", "fp", *SKETCH]
+    near = pairs.join(_side(prints, "a", slim), F.col("a") == F.col("a_node")).join(_side(prints, "b", slim), F.col("b") == F.col("b_node")).filter(_sketches_near("a", "b"))
+    near = stored(near.select("a", "b", "a_fp", "b_fp"), "copy-candidates")
+    ids = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     known = stored(texts.join(ids, "node", "left_semi").dropDuplicates(["node"]), "copy-texts")
     side = lambda name: known.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, prints = lru_cache(64)(shingle_set), lru_cache(64)(fingerprint)
+        sets = lru_cache(64)(shingle_set)
         for batch in batches:
-            out = [(a, b, prints(x), prints(y)) for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True) if similar(sets(x), sets(y))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["a", "b", "a_fp", "b_fp"])
+            a, b, *_, x, y = (c.to_pylist() for c in batch.columns)
+            kept = pa.array([similar(sets(t), sets(u)) for t, u in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "a_fp", "b_fp"]).filter(kept)
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+    both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_fp", "b_fp", "a_text", "b_text")
     return stored(both.mapInArrow(run, "a long, b long, a_fp long, b_fp long"), "copy-links")
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the fingerprints of similar texts, such that they lead from each text to all that similar ones lead to.
-
-    Texts without words have no shingles and no links here.
-    """
+def _texts(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    return docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+
+
+def prints(docs: DataFrame) -> DataFrame:
+    """(node, fp, n, keys, s0, ...) of each different text: its hash, fingerprint, number of shingles, keys and sketch."""
+    texts = _texts(docs)
     common = docs.sparkSession.sparkContext.broadcast(_common(texts))
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            first = [_first(s, *common.value) for s in sets]
-            n = [len(f) for f in first]
-            node = np.repeat(batch.column(0).to_numpy(), n)
-            size = np.repeat([len(s) for s in sets], n).astype(np.int32)
-            rest = size - np.concatenate([np.arange(k) for k in n]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(node), pa.array(size), pa.array(rest)], ["key", "node", "n", "rest"])
-
-    filled = texts.filter(text.isNotNull()).dropDuplicates(["node"])
-    filed = stored(filled.mapInArrow(file, "key long, node long, n int, rest int"), "copy-keys")
-    least = filed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("order"), "node", "n", "rest")).alias("hub"), F.count("*").alias("texts")).filter("texts > 1").select("key", "hub")
-    met = stored(filed.join(least, "key"), "copy-meetings")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+                found = [fingerprint(t) for t in batch.column(1).to_pylist()]
+                words = np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(SKETCH))
+                keys = pa.array([_first(s, *common.value) for s in sets], pa.list_(pa.int64()))
+                columns = [batch.column(0), pa.array(found, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), keys, *[pa.array(words[:, i]) for i in range(len(SKETCH))]]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "n", "keys", *SKETCH])
+
+    # Equal texts are one from here on. Keys are written once, an array for each text.
+    different = texts.filter(F.col("text").isNotNull()).dropDuplicates(["node"])
+    return stored(different.mapInArrow(run, "node long, fp long, n int, keys array<long>, " + ", ".join(f"{s} long" for s in SKETCH)), "copy-prints")
+
+
+def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the fingerprints of similar texts, such that they lead from each text to all that similar ones lead to.
+
+    ``prints`` are those of ``docs``. Texts without words have no shingles and no links here.
+    """
+    texts = _texts(docs)
+    filed = prints.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
+    hub = F.min(F.struct(F.xxhash64("key", "node").alias("order"), "node", "n", "rest")).alias("hub")
+    least = filed.groupBy("key").agg(hub, F.count("*").alias("texts")).filter("texts > 1").select("key", "hub")
+    met = stored(filed.join(stored(least, "copy-hubs"), "key"), "copy-meetings")
     spokes = met.filter((F.col("node") != F.col("hub.node")) & _may_be(F.col("n"), F.col("hub.n"), F.col("rest"), F.col("hub.rest")))
     ends = (F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
-    tried = stored(spokes.select(*ends).distinct(), "copy-candidates")
-    found = _verified(tried, texts)
+    tried = stored(spokes.select(*ends).distinct(), "copy-tried")
+    found = _verified(tried, prints, texts)
 
-    grouped = connected_components(found.select("a", "b"))
-    placed = met.select("key", "node", "n", "rest").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found_groups = connected_components(found.select("a", "b"))
+    placed = met.select("key", "node", "n", "rest").join(found_groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    placed = stored(placed.join(apart, "key", "left_semi"), "copy-apart")
-    side = lambda s: placed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "rest", "component")])
-    cross = side("a").join(side("b"), "key").filter((F.col("a_component") < F.col("b_component")) & _may_be(F.col("a_n"), F.col("b_n"), F.col("a_rest"), F.col("b_rest")))
+    placed = placed.join(apart, "key", "left_semi").join(prints.select("node", *SKETCH), "node")
+    placed = stored(placed, "copy-apart")
+    columns = ["key", "node", "n", "rest", "component", *SKETCH]
+    meets = (F.col("a_key") == F.col("b_key")) & (F.col("a_component") < F.col("b_component"))
+    may_be = _may_be(F.col("a_n"), F.col("b_n"), F.col("a_rest"), F.col("b_rest"))
+    cross = _side(placed, "a", columns).join(_side(placed, "b", columns), meets & may_be & _sketches_near("a", "b"))
     fresh = cross.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(stored(fresh, "copy-candidates"), texts)
+    more = _verified(fresh, prints, texts)
     return found.unionByName(more).filter("a_fp <> b_fp").select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()

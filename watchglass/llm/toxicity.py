@@ -328,9 +328,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
     return train(labelled(docs, labels, "toxic", per_class), class_share(labels, "toxic"))
 
 
-def with_score(docs: DataFrame, net: Network) -> DataFrame:
-    """All columns of ``docs`` and ``score``, row by row; a column of that name is replaced."""
-    return scored(docs, lambda texts: chance(np.clip(net.logits(texts), -12, 12), *net.curve))
+def with_score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score under ``name``, row by row; a column of that name is replaced."""
+    return scored(docs, lambda texts: chance(np.clip(net.logits(texts), -12, 12), *net.curve), name=name)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

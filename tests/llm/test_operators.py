@@ -413,27 +413,74 @@ def test_windows_cover_every_word():
 # chat
 
 
-def test_blocks_decode_like_one_pass(spark):
-    rng, rows = random.Random(5), []
-    for conv in range(30):
+def talk(seed=5, n=30):
+    rng, rows = random.Random(seed), []
+    for conv in range(n):
         for turn in range(rng.randint(1, 9)):
             rows.append((conv, turn, chat.ROLES[1 + turn % 2], "\n".join(" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 40 if turn % 2 else 8))) for _ in range(rng.randint(1, 3)))))
-    rows += [(None, 0, "user", "x"), (1, None, "user", "x"), (2, 0, None, "x"), (3, 0, "user", None), rows[0]]
-    lines = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit(1)))
-    model = chat.fit(lines)
-    got = {(r["conv_id"], r["line_no"]): (r["role"], r["begins"]) for r in chat.parse(lines, model, chat.TURN).collect()}
-    true, right = {}, 0
-    for r in lines.dropDuplicates(["conv_id", "line_no"]).collect():
+    return rows
+
+
+TALK = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize(("block", "chunk"), [(chat.TURN, 4096), (chat.BLOCK, 2), (50, 3)])
+def test_blocks_decode_like_one_pass(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(chat, "CHUNK", chunk)
+    rows = talk() + [(None, 0, "user", "x"), (1, None, "user", "x"), (2, 50, None, "x"), (3, 60, "user", None), talk()[0], (4, 100, "tool", "y\nz"), (4, 100, "user", "another text at one place"), (6, -3, "system", "before all")]
+    lines = chat.transcripts(spark.createDataFrame(rows, TALK).withColumn("rendered", F.lit(1)))
+    if block == 50:  # numbers of any kind, the first of a conversation anywhere
+        lines = lines.withColumn("line_no", F.floor(F.col("line_no") / chat.TURN) * 20 + F.col("line_no") % 20 + F.col("conv_id") * 37)
+    model = chat.fit(lines, block=block)
+    got = {}
+    for r in chat.parse(lines, model, block).collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    true, right, total = {}, 0, 0
+    for r in lines.distinct().collect():
         true.setdefault(r["conv_id"], []).append((r["line_no"], r["line"], r["role"], r["begins"]))
+    plain = chat.train([[x[1:] for x in sorted(true[k])] for k in sorted(true) if zlib.crc32(str(k).encode()) % 5])
+    for a, b in zip((model.start, model.move, model.marker, model.form), (plain.start, plain.move, plain.marker, plain.form), strict=True):
+        assert np.allclose(np.exp(a), np.exp(b))
     for conv, known in true.items():
         known.sort()
         e = np.array([model.emission(line, i == 0) for i, (_, line, _, _) in enumerate(known)])
-        assert [chat.STATES[s] for s in chat.viterbi(e, model.start, model.move)] == [got[(conv, no)] for no, *_ in known]
-        right += sum(got[(conv, no)] == (role, begins) for no, _, role, begins in known)
-    assert right / len(got) > 0.85
+        path = [chat.STATES[s] for s in chat.viterbi(e, model.start, model.move)]
+        found = sorted(got.pop(conv), key=lambda r: r["line_no"])
+        assert [(r["line_no"], r["role"], r["begins"]) for r in found] == [(no, *p) for (no, *_), p in zip(known, path, strict=True)]
+        assert [r["rendered"] for r in found] == [chat.rendered(line, *p) for (_, line, _, _), p in zip(known, path, strict=True)]
+        right += sum(p == x[2:] for p, x in zip(path, known, strict=True))
+        total += len(known)
+    assert not got and right / total > 0.8
     assert chat.parse(lines.filter("false"), model).count() == 0
 
 
+def test_viterbi_is_the_best_of_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    model = chat.train([[(line, role, begins) for line, role, begins in (("User: a", "user", True), ("b", "user", False), ("Assistant: c", "assistant", True))]] * 3)
+    for words in (["Q: x"], ["x", "Human: y?", "z"], ["A: long " * 30, "", "Tool: 1", "User: no"]):
+        e = np.array([model.emission(w, i == 0) for i, w in enumerate(words)]) + rng.normal(0, 1e-3, (len(words), len(chat.STATES)))
+        chance = lambda path: model.start[path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:], strict=False)) + sum(e[i, s] for i, s in enumerate(path))  # noqa: E731, B023
+        assert tuple(chat.viterbi(e, model.start, model.move)) == max(product(range(len(chat.STATES)), repeat=len(words)), key=chance)
+
+
+def test_rendering_keeps_all_text(spark):
+    """Markers go only at a turn's start, and only where they name the role found."""
+    rows = [(c, t, role, text) for c in range(40) for t, (role, text) in enumerate([("user", "first question?\nQ: nested line\n"), ("assistant", "answer one\nA: quoted"), ("tool", ""), ("assistant", "x " * 200_000 if c == 0 else "end")])]
+    lines = chat.transcripts(spark.createDataFrame(rows, TALK))
+    marked = lines.filter((F.crc32(F.col("conv_id").cast("string")) % 4).isin(0, 2))
+    model = chat.fit(marked)
+    out = {}
+    for r in sorted(chat.parse(marked, model).collect(), key=lambda r: r["line_no"]):
+        out.setdefault(r["conv_id"], []).append(r["rendered"])
+    assert out
+    for conv, parts in out.items():
+        last = "x " * 200_000 if conv == 0 else "end"
+        assert "\n".join(parts) == f"<|user|>\nfirst question?\nQ: nested line\n\n<|assistant|>\nanswer one\nA: quoted\n<|other|>\n\n<|assistant|>\n{last}"
+    assert chat.rendered("Q: x", "assistant", True) == "<|assistant|>\nQ: x" and chat.rendered("Q: x", "user", True) == "<|user|>\nx" and chat.rendered("Q: x", "user", False) == "Q: x"
+
+
 @pytest.mark.parametrize(("line", "role", "rest"), [("User: hi", "user", "hi"), ("### Human: hi", "user", "hi"), ("<|assistant|> x", "assistant", "x"), ("[System] y", "system", "y"), ("Note: z", None, "Note: z"), ("a: b", "assistant", "b"), ("", None, "")])
 def test_markers(line, role, rest):
     assert chat.split_marker(line) == (role, rest)

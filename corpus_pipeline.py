@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchglass.llm import compression, line_dedup, packing, shingles, simhash, toxicity
-from watchglass.llm.common import quoted, stored, table, unused
+from watchglass.llm.common import quoted, small, stored, table, unused
 from watchglass.plans.lineage import scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -67,18 +67,22 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text the one whose other columns have the least hash stays.
     """
     prints = shingles.prints(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("node"))
-    # Copies are one before anything is joined; the least id stands for them.
-    first = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("first"))
-    known = first.join(prints.select("node", "fp"), "node", "left").select(F.coalesce("fp", F.lit(0)).alias("fp"), "first.doc_id", "node")
-    kept = simhash.first_of_groups(known, more=shingles.links(docs, prints))
-    kept = kept.select(F.xxhash64("doc_id", "node").alias("k_at"), F.col("doc_id").alias("k_id"), F.col("node").alias("k_node"))
     others = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
-    whole = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("node"), F.xxhash64(F.lit(0), *others).alias("other"))
-    named = whole.withColumn("at", F.xxhash64("id", "node"))
-    same = (F.col("at") == F.col("k_at")) & (F.col("node") == F.col("k_node")) & F.col("id").eqNullSafe(F.col("k_id"))
-    alike = named.join(kept, same, "left_semi")
-    one = alike.withColumn("nth", F.row_number().over(Window.partitionBy("at", "node", "id").orderBy("other"))).filter("nth = 1")
+    keys = [F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("node"), F.xxhash64(F.lit(0), *others).alias("other")]
+    rows = docs.select(*keys)
+    # Copies are one before anything is joined; the least id stands for them.
+    first = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id")).alias("first"))
+    known = first.join(prints.select("node", "fp"), "node", "left").select(F.coalesce("fp", F.lit(0)).alias("fp"), F.col("first.id").alias("doc_id"), "node")
+    kept = simhash.first_of_groups(known, more=shingles.links(docs, prints)).withColumnRenamed("doc_id", "id")
+    same = lambda x, y: (x["node"] == y["node"]) & x["id"].eqNullSafe(y["id"])
+    whole = docs.select(F.struct(*_columns(docs)).alias("row"), *keys)
+    # Those that go, and those that come more than once, are fewer than those that stay.
+    gone = small(rows.join(kept, same(rows, kept), "left_anti").select("id", "node").distinct())
+    left = whole.join(gone, same(whole, gone), "left_anti")
+    again = small(rows.groupBy("id", "node").agg(F.count("*").alias("n"), F.min("other").alias("least")).filter("n > 1").drop("n"))
+    single = left.join(again, same(left, again), "left_anti")
+    repeated = left.join(again.withColumnsRenamed({"id": "r_id", "node": "r_node"}), (F.col("node") == F.col("r_node")) & F.col("id").eqNullSafe(F.col("r_id")) & (F.col("other") == F.col("least")))
+    one = single.select("row").unionByName(repeated.dropDuplicates(["id", "node"]).select("row"))
     return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
@@ -99,10 +103,18 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
+#: Rows that go to Python at once; texts are long, and the workers of all stages share an executor's memory.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        with scratch(spark):  # what a stage wrote on its way goes when its result is written
-            made = stage(spark, docs, sf_dir)
-            docs = stored(made, name.replace(" ", "-").lower(), outlives=True)
+    before = spark.conf.get(BATCH[0])
+    spark.conf.set(*BATCH)
+    try:
+        for name, stage in STAGES:
+            with scratch(spark):  # what a stage wrote on its way goes when its result is written
+                docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower(), outlives=True)
+    finally:
+        spark.conf.set(BATCH[0], before)
     return docs

@@ -57,3 +57,6 @@ def test_sketches_never_part_similar_sets():
             differ = int(np.bitwise_count((shingles.sketch(a) ^ shingles.sketch(b)).view(np.uint64)).sum())
             assert differ <= len(np.setxor1d(a, b))
             assert not shingles.similar(a, b) or 9 * differ <= len(a) + len(b)
+            wide = shingles.differing(shingles.wide(a), shingles.wide(b))
+            assert wide == shingles.differing(shingles.wide(b), shingles.wide(a)) <= len(np.setxor1d(a, b))
+            assert (m < n // 2 or n < 60) or 9 * wide > len(a) + len(b)

@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 
 from watchglass.plans.lineage import stored
 
-__all__ = ["class_share", "held_out", "labelled", "quoted", "scored", "stored", "table", "unused"]
+__all__ = ["class_share", "held_out", "labelled", "quoted", "scored", "small", "stored", "table", "unused"]
 
 #: Labelled rows of this fold are held out from training.
 HELD_OUT_FOLD, FOLDS = 0, 5
+#: So many rows of a few numbers (some 8 bytes each) are broadcast, at most.
+BROADCAST_ROWS = 1_000_000
 #: Characters of labelled texts that a driver takes, at most.
 MOST_CHARS = 20_000_000
 
@@ -29,6 +31,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (of a few numbers each), written to a table and marked for a broadcast if there are ``most`` at most.
+
+    More are joined by a shuffle.
+    """
+    known = stored(rows, "joined-rows")
+    return F.broadcast(known) if known.count() <= most else known
+
+
 def unused(columns: Sequence[str], name: str) -> str:
     """``name``, with underscores after it until no column has it, in upper or lower case."""
     taken = {c.lower() for c in columns}

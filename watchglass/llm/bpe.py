@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from watchglass.llm.common import table
 
 #: Chunks between white space whose ids a worker remembers; the memory is cleared when it is full.
-CACHED = 700_000
+CACHED = 500_000
 END = "\0"
 
 
@@ -163,6 +163,8 @@ class Vocabulary:
             if (ids := self._word_ids.get(word)) is None:
                 ids = array("I", self._encode(word)).tobytes()
                 if len(word) < 64:
+                    if len(self._word_ids) > CACHED:
+                        self._word_ids.clear()
                     self._word_ids[word] = ids
             out.append(ids)
         return b"".join(out)

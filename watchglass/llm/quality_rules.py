@@ -13,14 +13,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchglass.llm.common import held_out, table
+from watchglass.llm.common import sample_of, table
 
 SPACE = r"\x20\x09-\x0D"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Labelled documents of each class that the list is learned from, at most.
 PER_CLASS = 4000
-#: Least precision of a rule, documents it must cover, conditions in it, rules in the list.
-PRECISION, COVERED, CONDITIONS, MOST_RULES = 0.95, 10, 3, 8
+#: Least precision of a rule, documents it must cover, conditions in it (the shape of a rule, not a cut of the data).
+PRECISION, COVERED, CONDITIONS = 0.95, 10, 3
 
 Condition = tuple[str, str, float]
 OPERATORS = {">=": operator.ge, "<": operator.lt}
@@ -151,7 +151,7 @@ def learn(rows: Sequence[Row]) -> list[list[Condition]]:
     is not precise on all rows left or covers too few; the rows it covers are then set aside.
     """
     left, rules = list(rows), []
-    while len(rules) < MOST_RULES:
+    while True:
         grow, prune = [r for i, r in enumerate(left) if i % 3], left[::3]
         rule = _grown(grow)
         if not rule:
@@ -186,16 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[
     Labels of the held-out fold, and rows with a null id, text or label, take no part. Without both classes there are
     no rules and every document passes.
     """
-    known = (
-        labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label"))
-        .filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
-        .withColumn("_order", F.xxhash64("_id"))
-    )
-    parts = [known.filter(F.col("_label") == v).orderBy("_order", "_id").limit(per_class) for v in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).select("_id", "_label")
-    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), "text")
-    picked = texts.join(F.broadcast(chosen), "_id")  # 2 * per_class ids
-    measured = statistics(picked.select(F.struct("_id", "_label").alias("doc_id"), "text")).filter(~base_failed())
+    # The sample is a table before anything is measured, so that only its texts are.
+    picked = sample_of(docs, labels, "quality", per_class)
+    measured = statistics(picked.select(F.struct("_id", "_label").alias("doc_id"), F.col("_text").alias("text"))).filter(~base_failed())
     names = features()
     rows = measured.select("doc_id", *[c.alias(n) for n, c in names.items()]).collect()  # as many rows
     rows.sort(key=lambda r: tuple(r[0]) + tuple(r[1:]))

@@ -25,7 +25,7 @@ def arguments() -> argparse.ArgumentParser:
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("triage", "metrics", "validate"):
         command = commands.add_parser(name)
-        command.add_argument("path")
+        command.add_argument("path", nargs="+", help="files, folders or patterns; - for standard input")
         command.add_argument("--kind", choices=("json", "ndjson", "csv"))
         command.add_argument("--window", type=int, default=30, help="minutes")
         if name == "triage":
@@ -45,7 +45,7 @@ def emit(report: Report, args: argparse.Namespace) -> None:
     at = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.000Z")
     raw = args.include_raw_payload
     if args.format in ("text", "md", "html"):
-        text = handover.render(report, args.format, args.path, at)
+        text = handover.render(report, args.format, ", ".join(args.path), at)
     elif args.format == "stix":
         text = stix.bundle(stix.objects(report.clusters, at, narratives(report.clusters, report.members)))
     else:
@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        print(f"no such path: {args.path}", file=sys.stderr)
+        print(f"no such path: {', '.join(args.path)}", file=sys.stderr)
         return 2
     if args.command == "validate":
         n = alerts.count()

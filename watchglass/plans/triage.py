@@ -41,6 +41,7 @@ class Report:
 
 def triage(alerts: DataFrame, settings: Settings = Settings()) -> Report:
     """Dedup, redaction, extraction, clustering and scoring; alerts are written once before they are clustered."""
+    alerts = alerts.withColumn("raw", F.lit(None).cast("string")) if settings.drop_raw else alerts
     kept = deduplicate(alerts, settings.window_minutes, settings.scope) if settings.dedup else alerts
     known = redact(with_indicators(kept), settings.redact) if settings.redact else with_indicators(kept)
     members = assign(stored(known, "alerts"), settings)

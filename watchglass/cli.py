@@ -1,8 +1,9 @@
-"""Command line: triage, metrics, validate and version."""
+"""Command line: triage, metrics, validate, config, doctor and version."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from datetime import UTC, datetime
 
@@ -11,13 +12,15 @@ from pyspark.sql import SparkSession
 from watchglass.operators import metrics
 from watchglass.operators.filters import FilterEvalError, FilterSyntaxError, parse_filter
 from watchglass.operators.summaries import narratives
+from watchglass.operators.summarizers import Mock, Template
+from watchglass.plans.config import as_text, load
 from watchglass.plans.schema import Settings
 from watchglass.plans.triage import Report, triage
 from watchglass.sinks import exports, handover, stix, tickets
 from watchglass.sources.readers import read_alerts
 
 VERSION = "0.1.0"
-FORMATS = ("text", "json", "csv", "clusters", "stix", "md", "html", "tickets")
+FORMATS = ("text", "report", "json", "csv", "clusters", "stix", "md", "html", "tickets")
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -27,25 +30,55 @@ def arguments() -> argparse.ArgumentParser:
         command = commands.add_parser(name)
         command.add_argument("path", nargs="+", help="files, folders or patterns; - for standard input")
         command.add_argument("--kind", choices=("json", "ndjson", "csv"))
-        command.add_argument("--window", type=int, default=30, help="minutes")
+        command.add_argument("--window", type=int, help="minutes")
+        command.add_argument("--config", help="settings in TOML or JSON")
         if name == "triage":
             command.add_argument("-f", "--format", choices=FORMATS, default="text")
             command.add_argument("-o", "--output")
             command.add_argument("--filter")
             command.add_argument("--no-dedup", action="store_true")
             command.add_argument("--drop-raw", action="store_true")
-            command.add_argument("--redact", default="")
-            command.add_argument("--scope", choices=("file", "global"), default="file")
+            command.add_argument("--redact")
+            command.add_argument("--scope", choices=("file", "global"))
+            command.add_argument("--max-clusters", type=int)
+            command.add_argument("--summary", choices=("none", "template", "mock"), default="none")
             command.add_argument("--include-raw-payload", action="store_true")
+    shown = commands.add_parser("config")
+    shown.add_argument("--config")
+    commands.add_parser("doctor")
     commands.add_parser("version")
     return parser
 
 
+def settings_of(args: argparse.Namespace) -> Settings:
+    """What the command line gives goes before the environment, that before the file."""
+    given = {"window_minutes": "window", "scope": "scope", "redact": "redact", "max_clusters": "max_clusters"}
+    found = {name: getattr(args, arg, None) for name, arg in given.items()}
+    found |= {"dedup": False if getattr(args, "no_dedup", False) else None, "drop_raw": getattr(args, "drop_raw", False) or None}
+    return load(args.config, **found)
+
+
+def doctor(spark: SparkSession) -> list[tuple[str, bool, str]]:
+    """(check, whether it is well, what was found)."""
+    from watchglass.plans.lineage import shared_folder, stored
+
+    checks = [("python", sys.version_info >= (3, 11), sys.version.split()[0]), ("spark", int(spark.version.split(".")[0]) >= 4, spark.version)]
+    for name, check in (("shared folder", lambda: shared_folder(spark)), ("write and read", lambda: f"{stored(spark.range(3), 'doctor').count()} rows"), ("time zone", lambda: spark.conf.get("spark.sql.session.timeZone"))):
+        try:
+            checks.append((name, True, check()))
+        except Exception as e:  # noqa: BLE001
+            checks.append((name, False, str(e).splitlines()[0]))
+    return checks
+
+
 def emit(report: Report, args: argparse.Namespace) -> None:
     at = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.000Z")
     raw = args.include_raw_payload
     if args.format in ("text", "md", "html"):
         text = handover.render(report, args.format, ", ".join(args.path), at)
+    elif args.format == "report":
+        writer = {"template": lambda: Template(at), "mock": Mock}.get(args.summary)
+        text = json.dumps(exports.report_document(report, ", ".join(args.path), at, writer().summarize(report) if writer else None, raw), default=str, indent=2)
     elif args.format == "stix":
         text = stix.bundle(stix.objects(report.clusters, at, narratives(report.clusters, report.members)))
     else:
@@ -71,9 +104,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "version":
         print(VERSION)
         return 0
+    if args.command == "config":
+        print(as_text(load(args.config)))
+        return 0
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.command == "doctor":
+        checks = doctor(spark)
+        print("\n".join(f"{'ok  ' if well else 'FAIL'} {name}: {found}" for name, well, found in checks))
+        return int(not all(well for _, well, _ in checks))
+    try:
+        settings = settings_of(args)
+    except ValueError as e:
+        print(f"settings: {e}", file=sys.stderr)
+        return 2
     try:
-        alerts = read_alerts(spark, args.path, args.kind, getattr(args, "drop_raw", False))
+        alerts = read_alerts(spark, args.path, args.kind, settings.drop_raw)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -84,11 +129,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"{n} alerts")
         return 0 if n else 2
     if args.command == "metrics":
-        report = triage(alerts, Settings(window_minutes=args.window))
+        report = triage(alerts, settings)
         for frame in (metrics.overview(report.members), metrics.top_categories(report.members), metrics.indicator_types(report.clusters)):
             print("\n".join(str(r.asDict()) for r in frame.collect()))
         return 0
-    settings = Settings(window_minutes=args.window, scope=args.scope, dedup=not args.no_dedup, drop_raw=args.drop_raw, redact=tuple(filter(None, args.redact.split(","))))
     report = triage(alerts, settings)
     if args.filter:
         try:

@@ -24,8 +24,8 @@ KEYED_HASH = r"(?iU)\b(?:ja3s?|imphash)\s*[:=]\s*([0-9a-f]{32})\b"
 CVE = r"(?i)CVE-\d{4}-\d{4,7}"
 TECHNIQUE = r"T1\d{3}(?:\.\d{3})?"
 ANY_TECHNIQUE = r"^T\d{4}(?:\.\d{3})?$"
-HIVES = "LM CU CR U CC EY_LOCAL_MACHINE EY_CURRENT_USER EY_CLASSES_ROOT EY_USERS EY_CURRENT_CONFIG".split()
-REGISTRY = r"(?i)HK(?:" + "|".join(HIVES) + r")\\[^\s\"'<>|]+"
+HIVES = ("HKLM", "HKCU", "HKCR", "HKU", "HKCC", "HKEY_LOCAL_MACHINE", "HKEY_CURRENT_USER", "HKEY_CLASSES_ROOT", "HKEY_USERS", "HKEY_CURRENT_CONFIG")
+REGISTRY = r"(?i)(?:" + "|".join(HIVES) + r")\\[^\s\"'<>|]+"
 REGISTRY_TAIL = r"[.,;:)\"' ]+$"
 ENCODED = r"(?iU)(?:(?:-|/)e(?:nc|ncoded(?:command)?)\s+|FromBase64String\s*\(\s*[\"'])([A-Za-z0-9+/=]{100,})"
 ENCODED_PREFIX = "ps_encoded:"

@@ -1,4 +1,4 @@
-"""Indicator functions for SQL texts."""
+"""Indicator functions by name, for plans that are put together from names."""
 
 from __future__ import annotations
 

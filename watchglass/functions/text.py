@@ -13,10 +13,6 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def any_of(column: Column, values: list[str]) -> Column:
-    return column.isin(*values)
-
-
 def filled(column: Column) -> Column:
     """Null for an empty string."""
     return F.nullif(column, F.lit(""))

@@ -72,8 +72,11 @@ def _most(members: DataFrame, value: Column, name: str) -> DataFrame:
     return counted.groupBy("cluster_id").agg(F.max_by(name, F.struct("n", -F.col("s"))).alias(name))
 
 
-def summarize(members: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per cluster: label, confidence, reason, counts, times, indicators, techniques, score and priority."""
+def summarize(members: DataFrame, settings: Settings = Settings(), told: DataFrame | None = None) -> DataFrame:
+    """One row per cluster: label, confidence, reason, counts, times, indicators, techniques, score and priority.
+
+    ``told`` (cluster_id, label, cluster_reason, confidence) goes before what would be said of a cluster otherwise.
+    """
     weights, limits = settings.weights, settings.thresholds
     severity = F.col("severity")
     groups = members.groupBy("cluster_id").agg(
@@ -128,6 +131,10 @@ def summarize(members: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     confidence = F.when(F.col("overflow") | single, 1.0).when(shared > 0, 0.95).when(F.col("pair").isNotNull(), 0.80).otherwise(0.75)
     out = out.withColumns({"label": label, "cluster_reason": reason, "confidence": confidence, "techniques": F.transform("techniques", lambda t: t)})
+    if told is not None:
+        names = ("label", "cluster_reason", "confidence")
+        out = out.join(told.select("cluster_id", *[F.col(c).alias(f"told_{c}") for c in names]), "cluster_id", "left")
+        out = out.withColumns({c: F.coalesce(f"told_{c}", c) for c in names}).drop(*[f"told_{c}" for c in names])
     out = out.withColumn("score", score(F.col("base"), F.col("any_critical"), F.col("high_count"), F.size("iocs"), F.size("techniques"), F.coalesce("critical_hint", F.lit(False)), F.coalesce("high_hint", F.lit(False)), F.col("confidence")))
     out = out.withColumn("priority", priority(F.col("score"), limits)).withColumn("priority_rank", priority_rank(F.col("priority")))
     typed = F.transform("iocs", lambda v: F.struct(v.alias("value"), indicator_type(v).alias("type")))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +61,15 @@ def _no_lookup(value: Column) -> Column:
     )
 
 
+# Suffixes of files, which a URL analyser doesn't take for domains.
+NOT_DOMAINS = (
+    "exe", "dll", "sys", "ps1", "bat", "cmd", "vbs", "js", "log", "ldb", "sst", "tmp", "mca", "inf", "msi", "jar", "zip", "rar", "7z", "tar", "gz", "iso", "img", "py", "sh", "rb",
+    "pl", "php",
+)
+
+
 def _filename(value: Column) -> Column:
-    return F.lower(F.substring_index(value, ".", -1)).isin(*P.FILE_SUFFIXES, "log", "txt", "tmp", "dat", "cfg", "ini", "xml", "zip", "doc", "docx", "xls", "xlsx", "pdf") & value.contains(".")
+    return F.lower(F.substring_index(value, ".", -1)).isin(*NOT_DOMAINS) & value.contains(".")
 
 
 def for_url_analysis(value: Column) -> Column:
@@ -86,3 +98,42 @@ def to_look_up(clusters: DataFrame, most: int = MOST_LOOKED_UP) -> DataFrame:
 def local_analysis(values: DataFrame) -> DataFrame:
     """(ioc, source, findings) of each row's indicator."""
     return values.select("ioc", F.lit("local_heuristics").alias("source"), findings(F.col("ioc")).alias("findings"))
+
+
+def command(*argv: str, seconds: float = 15) -> Callable[[str], dict]:
+    """A lookup that runs a program with the indicator as its last argument and reads JSON from its output."""
+
+    def look_up(value: str) -> dict:
+        done = subprocess.run([*argv, value], capture_output=True, text=True, timeout=seconds, check=True)  # noqa: S603
+        return json.loads(done.stdout)
+
+    return look_up
+
+
+#: A name, a condition on the indicator column, and what looks one indicator up.
+Lookup = tuple[str, Callable[[Column], Column], Callable[[str], dict]]
+
+
+def run(clusters: DataFrame, lookups: Sequence[Lookup], consent: bool = False, most: int = MOST_LOOKED_UP, threads: int = 4) -> list[dict]:
+    """What lookups say of the first indicators: rows with ioc, source and result or error.
+
+    Each lookup gets the indicators that its condition takes, ``most`` in all. Indicators leave the machine only with
+    ``consent``; without it, only the local analysis is given. A lookup that fails gives its error and stops no other.
+    """
+    chosen = to_look_up(clusters, most)
+    local = local_analysis(chosen).orderBy("ioc").collect()  # ``most`` rows
+    out = [{"ioc": r["ioc"], "source": r["source"], "result": {"findings": r["findings"]}} for r in local]
+    if not consent or not lookups:
+        return out
+    taken = chosen.select("ioc", "place", *[condition(F.col("ioc")).alias(f"l{i}") for i, (_, condition, _) in enumerate(lookups)]).orderBy("place").collect()
+    tasks = [(r["ioc"], name, look_up) for r in taken for i, (name, _, look_up) in enumerate(lookups) if r[f"l{i}"]]
+
+    def one(task: tuple[str, str, Callable[[str], dict]]) -> dict:
+        ioc, name, look_up = task
+        try:
+            return {"ioc": ioc, "source": name, "result": look_up(ioc)}
+        except Exception as e:  # noqa: BLE001
+            return {"ioc": ioc, "source": name, "error": f"{type(e).__name__}: {e}"}
+
+    with ThreadPoolExecutor(threads) as pool:
+        return [*out, *pool.map(one, tasks)]

@@ -75,3 +75,8 @@ def redact_injections(alerts: DataFrame) -> DataFrame:
     out = plain.withColumns({f: F.when(F.size(kinds(F.col(f"_{f}"))) > 0, F.lit(MARK)).otherwise(F.col(f)) for f in FIELDS})
     out = out.withColumn("iocs", F.filter("iocs", lambda v, i: F.size(kinds(F.get("_iocs", i), True)) == 0))
     return out.select(*alerts.columns)
+
+
+def findings_log(alerts: DataFrame, path: str) -> None:
+    """Writes what ``scan`` finds, a line of JSON for each finding, where the rows are."""
+    scan(alerts).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)

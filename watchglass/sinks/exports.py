@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchglass.functions import patterns as P
 from watchglass.functions.indicators import encoded_stub, indicator_type
+from watchglass.plans.triage import Report
+
+#: Clusters, and alerts of each, that one document shows.
+TOP = 1000
 
 
 def _hidden(value: Column) -> Column:
@@ -59,6 +65,37 @@ def cluster_documents(members: DataFrame, clusters: DataFrame, raw_payload: bool
     return both.select("cluster_id", F.to_json(F.struct(*kept)).alias("json"))
 
 
+def report_document(report: Report, source: str, at: str, summary: dict | None = None, raw_payload: bool = False, top: int = TOP) -> dict:
+    """The report as one document: statistics, how it was made, a summary if given, and the first ``top`` clusters.
+
+    It is for people and tools that take one document; ``write_report`` writes every cluster.
+    """
+    stats = report.stats().first().asDict()
+    first = report.clusters.orderBy(F.desc("score"), F.desc("raw_score"), "cluster_id").limit(top)
+    few = report.members.join(F.broadcast(first.select("cluster_id")), "cluster_id", "left_semi")  # ``top`` ids
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("seq"))
+    shown = few.withColumn("_place", place).filter(F.col("_place") <= top).drop("_place")
+    rows = {r["cluster_id"]: json.loads(r["json"]) for r in cluster_documents(shown, first, raw_payload).collect()}
+    order = [r["cluster_id"] for r in first.select("cluster_id").collect()]
+    counts = {r["priority"]: r["count"] for r in report.clusters.groupBy("priority").count().collect()}
+    return {
+        "input_file": source, "analyzed_at": at, "alerts_ingested": stats["original"], "alerts_after_dedup": stats["kept"], "removed_pct": stats["removed_pct"],
+        "cluster_count": sum(counts.values()), "clusters_by_priority": counts, "clusters_shown": len(order), "clusters": [rows[i] for i in order], "summary": summary,
+        "manifest": {"engine": "watchglass", "spark": report.clusters.sparkSession.version, "alerts_shown_per_cluster": top},
+    }
+
+
+def write_report(report: Report, path: str, source: str, at: str, summary: dict | None = None, raw_payload: bool = False) -> None:
+    """Writes ``report`` (the document), ``clusters`` (every one, a line each) and ``alerts`` (every one) under ``path``."""
+    spark = report.clusters.sparkSession
+    text = json.dumps(report_document(report, source, at, summary, raw_payload), default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+    safe = (lambda v: v) if raw_payload else lambda v: encoded_stub(v)
+    clusters = report.clusters.withColumn("iocs", F.transform("iocs", safe)).drop("iocs_typed")
+    clusters.select(F.to_json(F.struct(*clusters.columns)).alias("value")).write.mode("overwrite").text(f"{path}/clusters")
+    alert_rows(report.members, report.clusters, raw_payload).write.mode("overwrite").json(f"{path}/alerts")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the tables")
 def test_components_of_alerts_of_every_severity(spark):
-    from watchglass.queries import events, overlap_components_all
+    from watchglass.queries import events, overlap_components
 
     parent: dict = {}
 
@@ -27,5 +27,5 @@ def test_components_of_alerts_of_every_severity(spark):
     least: dict = {}
     for r in rows:
         least[find(r["seq"])] = min(r["seq"], least.get(find(r["seq"]), r["seq"]))
-    got = {r["seq"]: r["component"] for r in overlap_components_all(spark, FOLDER).collect()}
+    got = {r["seq"]: r["component"] for r in overlap_components(spark, FOLDER).collect()}
     assert got == {r["seq"]: least[find(r["seq"])] for r in rows}

@@ -125,26 +125,85 @@ def ip_pair_sessions(spark, d):
 
 @query(
     "overlap_components",
-    f"""WITH RECURSIVE {ALERTS}, c AS (SELECT seq, k FROM (SELECT seq, unnest(['u' || "user", 'h' || date_trunc('hour', ts)]) AS k FROM alerts WHERE severity = 'CRITICAL')),
-edges AS (SELECT DISTINCT x.seq AS a, y.seq AS b FROM c x JOIN c y USING (k)), reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
-SELECT a AS seq, min(b) AS component FROM reach GROUP BY a""",
+    """WITH RECURSIVE a AS (SELECT event_id AS seq, 'u' || user_id AS u, 'h' || date_trunc('hour', ts) AS h FROM events), e AS (SELECT DISTINCT u AS x, h AS y FROM a UNION SELECT DISTINCT h, u FROM a),
+first AS (SELECT k, min(seq) AS m FROM (SELECT u AS k, seq FROM a UNION ALL SELECT h, seq FROM a) GROUP BY k),
+cc(k, m) USING KEY (k) AS (SELECT k, m FROM first UNION SELECT e.y, min(cc.m) FROM cc JOIN e ON e.x = cc.k JOIN recurring.cc AS r ON r.k = e.y WHERE cc.m < r.m GROUP BY e.y)
+SELECT seq, m AS component FROM a JOIN cc ON cc.k = a.u""",
 )
 def overlap_components(spark, d):
-    grave = events(spark, d).filter("severity = 'CRITICAL'").withColumn("iocs", F.array(F.concat(F.lit("u"), "user"), F.concat(F.lit("h"), F.date_trunc("hour", "timestamp").cast("string"))))
-    seen = grave.select("seq", F.explode("iocs").alias("ioc"))
-    least = seen.groupBy("ioc").agg(F.min("seq").alias("a"))
-    found = connected_components(seen.join(least, "ioc").select("a", F.col("seq").alias("b"))).withColumnRenamed("node", "seq")
-    return grave.select("seq").join(found, "seq", "left").select("seq", F.coalesce("component", "seq").alias("component"))
-
-
-@query("overlap_components_all")
-def overlap_components_all(spark, d):
-    """As overlap_components, over alerts of every severity; its recursive SQL would form all pairs."""
+    """Components of all alerts that share a user or an hour."""
     alerts = events(spark, d).withColumn("iocs", F.array_compact(F.array(F.concat(F.lit("u"), "user"), F.concat(F.lit("h"), F.date_trunc("hour", "timestamp").cast("string")))))
     found = connected_components(clustering.shared_links(alerts)).withColumnRenamed("node", "seq")
     return alerts.select("seq").join(found, "seq", "left").select("seq", F.coalesce("component", "seq").alias("component"))
 
 
+PAGE_HOST = "regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1)"
+PAGE_DOMAIN = f"regexp_extract({PAGE_HOST}, '[^.]+\\.[^.]+$')"
+SEVERITY_OF_PAGE = "CASE page_id % 5 WHEN 0 THEN 'INFO' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END"
+PRIORITY_OF = "CASE WHEN score < 5 THEN 'NOISE' WHEN score < 20 THEN 'LOW' WHEN score < 50 THEN 'MEDIUM' WHEN score < 100 THEN 'HIGH' ELSE 'CRITICAL' END"
+
+
+def page_alerts(spark, d, *indicators: str) -> DataFrame:
+    """An alert per page, with indicators of its address."""
+    pages = read(spark, d, "pages")
+    host = F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#:]+)", 1)
+    values = {"url": F.col("url"), "host": host, "domain": F.regexp_extract(host, r"[^.]+\.[^.]+$", 0)}
+    severity = F.element_at(F.array(*[F.lit(s) for s in ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")]), (F.col("page_id") % 5 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    made = {"seq": F.col("page_id"), "source_file": F.lit("pages"), "id": F.col("page_id").cast("string"), "timestamp": F.lit(None).cast("timestamp"), "severity": severity, "title": host}
+    made |= {n: none for n in ("description", "source", "source_ip", "dest_ip", "user", "host", "category", "raw")}
+    made |= {"iocs": F.array(*[values[n] for n in indicators]), "technique_ids": F.array().cast("array<string>")}
+    return pages.select(*[c.alias(n) for n, c in made.items()])
+
+
+def _page_clusters(key: str, indicators: str) -> str:
+    return f"""WITH m AS (SELECT page_id AS seq, min(page_id) OVER (PARTITION BY {key}) AS cluster_id, {indicators} AS iocs, {PAGE_HOST} AS title, {SEVERITY_OF_PAGE} AS severity FROM pages),
+i AS (SELECT cluster_id, ioc, count(*) AS n FROM (SELECT cluster_id, unnest(iocs) AS ioc FROM m) GROUP BY ALL),
+s AS (SELECT cluster_id, count(*)::INTEGER AS ioc_count, list_sort(list(ioc) FILTER (n > 1)) AS shared, string_agg(ioc, '|' ORDER BY ioc) AS iocs FROM i GROUP BY cluster_id),
+g AS (SELECT cluster_id, count(*) AS alert_count, sum({POINTS})::DOUBLE AS raw_score, bool_or(severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'HIGH') AS h, arg_min(title, seq) AS t FROM m GROUP BY cluster_id),
+k AS (SELECT *, CASE WHEN alert_count = 1 THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence FROM g JOIN s USING (cluster_id)),
+r AS (SELECT *, round(raw_score * (1.0::DOUBLE * CASE WHEN c THEN 1.5::DOUBLE ELSE 1.0 END * CASE WHEN h >= 3 THEN 1.3::DOUBLE ELSE 1.0 END * CASE WHEN ioc_count >= 5 THEN 1.2::DOUBLE ELSE 1.0 END * confidence), 2) AS score FROM k)
+SELECT cluster_id, alert_count, ioc_count, iocs, confidence, score, {PRIORITY_OF} AS priority,
+CASE WHEN alert_count = 1 THEN substr(t, 1, 60) WHEN len(shared) = 1 THEN 'IOC Cluster: ' || shared[1] ELSE 'IOC Campaign (' || len(shared) || ' IOCs)' END AS label,
+CASE WHEN alert_count = 1 THEN 'singleton' ELSE 'IOC overlap: ' || array_to_string(shared[1:3], ', ') || CASE WHEN len(shared) > 3 THEN ' (+' || (len(shared) - 3) || ' more)' ELSE '' END END AS cluster_reason FROM r"""
+
+
+def _page_triage(spark, d, *indicators: str) -> DataFrame:
+    members = clustering.assign(page_alerts(spark, d, *indicators))
+    out = clustering.summarize(members).withColumn("iocs", F.array_join("iocs", "|"))
+    return out.select("cluster_id", "alert_count", "ioc_count", "iocs", "confidence", "score", "priority", "label", "cluster_reason")
+
+
+@query("ioc_clusters", _page_clusters(PAGE_HOST, f"[url, {PAGE_HOST}]"))
+def ioc_clusters(spark, d):
+    """Clusters through shared indicators, scored: pages of one host."""
+    return _page_triage(spark, d, "url", "host")
+
+
+@query("ioc_campaigns", _page_clusters(PAGE_DOMAIN, f"[url, {PAGE_HOST}, {PAGE_DOMAIN}]"))
+def ioc_campaigns(spark, d):
+    """Clusters that share several indicators: hosts linked by their domain."""
+    return _page_triage(spark, d, "url", "host", "domain")
+
+
+@query(
+    "ip_pair_triage",
+    f"""WITH {ALERTS}, gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY source_ip, dest_ip ORDER BY ts, seq) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM alerts),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY source_ip, dest_ip ORDER BY ts, seq) AS n FROM gaps), m AS (SELECT *, min(seq) OVER (PARTITION BY source_ip, dest_ip, n) AS cluster_id FROM numbered),
+g AS (SELECT cluster_id, count(*) AS alert_count, any_value(source_ip) || ' → ' || any_value(dest_ip) AS pair, sum({POINTS})::DOUBLE AS raw_score, bool_or(severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'HIGH') AS h, arg_min(title, seq) AS t FROM m GROUP BY cluster_id),
+k AS (SELECT *, CASE WHEN alert_count = 1 THEN 1.0 ELSE 0.8 END::DOUBLE AS confidence FROM g),
+r AS (SELECT *, round(raw_score * (1.0::DOUBLE * CASE WHEN c THEN 1.5::DOUBLE ELSE 1.0 END * CASE WHEN h >= 3 THEN 1.3::DOUBLE ELSE 1.0 END * confidence), 2) AS score FROM k)
+SELECT cluster_id, alert_count, confidence, score, {PRIORITY_OF} AS priority, CASE WHEN alert_count = 1 THEN t ELSE pair || ' (' || alert_count || ' alerts)' END AS label,
+CASE WHEN alert_count = 1 THEN 'singleton' ELSE 'source/dest IP pair: ' || pair END AS cluster_reason FROM r""",
+)
+def ip_pair_triage(spark, d):
+    """Clusters through sessions of an address pair, scored and labelled by it."""
+    alerts = events(spark, d).withColumn("category", F.lit(None).cast("string"))
+    found = clustering.sessions(alerts, [F.col("source_ip"), F.col("dest_ip")], 30)
+    members = alerts.join(found, "seq").withColumnRenamed("session", "cluster_id").withColumn("overflow", F.lit(False))
+    return clustering.summarize(members).select("cluster_id", "alert_count", "confidence", "score", "priority", "label", "cluster_reason")
+
+
 @query("priority_histogram", WITH + "SELECT priority, count(*) AS clusters, sum(alert_count)::BIGINT AS alerts FROM clusters GROUP BY priority")
 def priority_histogram(spark, d):
     return session_clusters(spark, d).groupBy("priority").agg(F.count("*").alias("clusters"), F.sum("alert_count").alias("alerts"))

@@ -231,6 +231,7 @@ def test_line_dedup_edges(spark):
 @pytest.mark.parametrize("most", [1, 1000])
 def test_frequent_keys_join_like_others(spark, monkeypatch, most):
     monkeypatch.setattr(line_dedup, "LEAST_HOT", most)
+    monkeypatch.setattr(line_dedup, "SMALL_GROUPS", 0)
     rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(k + 1)] + [(None, 1)], "k long, i int")
     groups = spark.createDataFrame([(k, f"v{k}", k + 1) for k in range(5)], "k long, v string, n int")
     got = line_dedup._joined(rows, ["k"], groups, "v", "n", 20).collect()

@@ -29,6 +29,8 @@ from watchglass.operators.components import connected_components
 EDITS, CHARS = 2, 8
 #: Characters whose counts, modulo 4, are compared before two lines meet, and before they are verified.
 COUNTED, COUNTED_THEN = "ethanoisrd", "lucmpgbfvyw,. "
+#: So many groups, of at most eight numbers each (13 MB), are broadcast; so many numbers of positions in documents.
+SMALL_GROUPS, SMALL_POSITIONS = 200_000, 1_500_000
 #: Keys of fewer rows than this are never frequent ones.
 LEAST_HOT = 1000
 #: So many candidate lines' 64-bit hashes (8 MB) are broadcast to fetch their texts; more are joined by a shuffle.
@@ -233,9 +235,11 @@ def line_links(different: DataFrame, edits: int = EDITS, chars: int = CHARS) ->
 def _joined(rows: DataFrame, keys: list[str], groups: DataFrame, value: str, rows_of_a_group: str, total: int) -> DataFrame:
     """``rows`` with ``value`` of their group, or null: a left join that no frequent key brings into one task.
 
-    ``groups`` has a row per key and how many rows it has. Of keys with a ten thousandth of all rows or more there are
+    Few groups are broadcast. Else: ``groups`` has a row per key and how many rows it has. Of keys with a ten thousandth of all rows or more there are
     ten thousand at most: these are broadcast, and their rows are dealt by something else in the join with the others.
     """
+    if groups.count() <= SMALL_GROUPS:
+        return rows.join(F.broadcast(groups.select(*keys, value)), keys, "left").select(*rows.columns, value)
     most = max(LEAST_HOT, total // 10_000)
     hot = groups.filter(F.col(rows_of_a_group) > most).select(*keys, F.col(value).alias("hot"))
     rest = groups.filter(F.col(rows_of_a_group) <= most).select(*[F.col(k).alias(f"g_{k}") for k in keys], F.col(value).alias("rest"))
@@ -288,6 +292,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> Data
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_near")]
     # Written first, so that its size is known and a small one needs no shuffle of the texts.
     gone = stored(repeated_lines(docs.select("doc_id", "text"), edits, chars).select("doc_id", "mark", "dropped", F.size("near").alias("n_near")), "lines-to-drop")
+    if (gone.agg(F.sum(F.size("dropped") + 3)).first()[0] or 0) <= SMALL_POSITIONS:
+        gone = F.broadcast(gone)
     whole = docs.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("row"))  # its columns' names meet no others
     text = F.col("row")["text"].cast("string")
     match = F.col("row")["doc_id"].cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("mark"))

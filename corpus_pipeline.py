@@ -7,6 +7,7 @@ are and whatever their names. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,25 @@ from watchglass.plans.lineage import scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: What goes to Python at once; texts are long, and the workers of all stages share an executor's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """``stage``, with BATCH set for its session.
+
+    The settings count when the stage's frame is run, which may be after it was returned, so they stay; ``run`` puts
+    back what there was.
+    """
+
+    @functools.wraps(stage)
+    def small_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, value in BATCH.items():
+            spark.conf.set(key, value)
+        return stage(spark, docs, sf_dir)
+
+    return small_batches
+
 
 def _columns(docs: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in docs.columns]
@@ -92,29 +112,25 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("quality classifier", drop_poor),
-    ("line dedup", drop_lines),
-    ("SimHash near-dedup", drop_copies),
-    ("best-fit packing", pack),
+    ("toxicity", _in_small_batches(drop_toxic)),
+    ("quality classifier", _in_small_batches(drop_poor)),
+    ("line dedup", _in_small_batches(drop_lines)),
+    ("SimHash near-dedup", _in_small_batches(drop_copies)),
+    ("best-fit packing", _in_small_batches(pack)),
 ]
 
 #: Scores, fingerprints and tokens can't be had in SQL; tests hold each stage against its own definition.
 ORACLE_SQL: str | None = None
 
 
-#: Rows that go to Python at once; texts are long, and the workers of all stages share an executor's memory.
-BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    before = spark.conf.get(BATCH[0])
-    spark.conf.set(*BATCH)
+    before = {key: spark.conf.get(key) for key in BATCH}
     try:
         for name, stage in STAGES:
             with scratch(spark):  # what a stage wrote on its way goes when its result is written
                 docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower(), outlives=True)
     finally:
-        spark.conf.set(BATCH[0], before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return docs

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +37,26 @@ def test_stages_do_what_they_say(spark):
     assert ids(outs[3]) == sorted(r["component_id"] for r in kept.collect())
     assert set(ids(outs[4])) == set(ids(outs[3]))
     assert outs[4].groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+@pytest.mark.parametrize(("step", "operator"), [(0, "toxicity"), (1, "compression")])
+def test_a_stage_run_by_itself_hands_over_small_batches(spark, monkeypatch, step, operator):
+    """``run`` is not the only one that calls the stages, and a stage's frame is run after it was returned."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": [b.num_rows], "n_chars": [b.nbytes], "score": [0.4]})
+
+    before = {k: spark.conf.get(k) for k in pipeline.BATCH}
+    monkeypatch.setattr(getattr(pipeline, operator), "fit", lambda *_: None)
+    monkeypatch.setattr(getattr(pipeline, operator), "with_score", lambda docs, *_: docs.mapInArrow(sizes, "doc_id long, n_chars long, score double"))
+    monkeypatch.setattr(pipeline, "_columns", lambda docs: [F.col("doc_id"), F.col("n_chars")])
+    try:
+        for rows, chars in ((4000, 10), (400, 100_000)):
+            docs = spark.range(0, rows, 1, 1).select(F.repeat(F.lit("x"), chars).alias("text"))
+            found = pipeline.STAGES[step][1](spark, docs, FOLDER).collect()
+            assert sum(r["doc_id"] for r in found) == rows
+            assert max(r["doc_id"] for r in found) <= 500 and max(r["n_chars"] for r in found) <= 10_000_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from watchglass.llm import compression, line_dedup, packing, shingles, simhash, toxicity
 from watchglass.llm.common import quoted, small, stored, table, unused
-from watchglass.plans.lineage import scratch
+from watchglass.plans.lineage import give_back, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,7 +24,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execu
 
 
 def _in_small_batches(stage: Stage) -> Stage:
-    """``stage``, with BATCH set for its session.
+    """``stage``, with BATCH set for its session, begun when the driver has given back what earlier stages left free.
 
     The settings count when the stage's frame is run, which may be after it was returned, so they stay; ``run`` puts
     back what there was.
@@ -34,6 +34,7 @@ def _in_small_batches(stage: Stage) -> Stage:
     def small_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for key, value in BATCH.items():
             spark.conf.set(key, value)
+        give_back(spark)
         return stage(spark, docs, sf_dir)
 
     return small_batches

@@ -29,8 +29,8 @@ GRAMS = (3, 4, 5)
 EPOCHS, BATCH, RATE = 6, 128, 0.05
 #: Epochs before which each document's window is chosen anew.
 CHOOSE = (2, 4)
-#: Windows run through the network at once, and words whose inputs a worker remembers.
-AT_ONCE, REMEMBERED = 2048, 300_000
+#: Windows run through the network at once, and words whose inputs a worker remembers; those that the driver does.
+AT_ONCE, REMEMBERED, REMEMBERED_THERE = 2048, 300_000, 50_000
 THRESHOLD = 0.5
 
 WORD = re.compile(r"\w+")
@@ -89,11 +89,12 @@ class Network:
     out: np.ndarray  # 2 * HIDDEN + 1
     curve: tuple[float, float] = (1.0, 0.0)
     nothing: float = -4.0  # the logit of a text without words
+    _most: int = REMEMBERED
     _rows: dict[str, int] = field(default_factory=dict)
     _inputs: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_rows": {}, "_inputs": None}
+        return self.__dict__ | {"_most": REMEMBERED, "_rows": {}, "_inputs": None}
 
     def embed(self, own: np.ndarray, grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
         counts = np.diff(np.append(begin, len(grams)))
@@ -104,7 +105,7 @@ class Network:
         """Rows of the projected inputs, which are worked out once for each different word."""
         rows = self._rows
         new = [w for w in dict.fromkeys(words) if w not in rows]
-        if len(rows) + len(new) > REMEMBERED:
+        if len(rows) + len(new) > self._most:
             rows.clear()
             self._inputs, new = None, list(dict.fromkeys(words))
         if new:
@@ -112,7 +113,7 @@ class Network:
             start = len(rows)
             rows.update(zip(new, range(start, start + len(new)), strict=True))
             if self._inputs is None or len(self._inputs) < len(rows):
-                grown = np.zeros((max(2 * len(rows), 1 << 14), fresh.shape[1]), np.float32)
+                grown = np.zeros((max(min(2 * len(rows), self._most), len(rows), 1 << 14), fresh.shape[1]), np.float32)
                 if start:
                     grown[:start] = self._inputs[:start]
                 self._inputs = grown
@@ -178,9 +179,17 @@ class Network:
             k = stop
         return (np.concatenate(logits) if logits else np.zeros(0, np.float32)), owner, first
 
+    def forget(self) -> None:
+        """Lets go of the remembered inputs, which no longer hold once the weights change."""
+        self._rows, self._inputs = {}, None
+
     def logits(self, texts: Sequence[str | None]) -> np.ndarray:
         """The highest window's logit of each whole text."""
-        found, owner, _ = self.windows([words_of(t) for t in texts])
+        return self.highest([words_of(t) for t in texts])
+
+    def highest(self, texts: Sequence[list[str]]) -> np.ndarray:
+        """The same for texts given by their words."""
+        found, owner, _ = self.windows(texts)
         out = np.full(len(texts), -np.inf)
         np.maximum.at(out, owner, found)
         return np.where(np.isinf(out), self.nothing, out)
@@ -279,11 +288,13 @@ def _fresh(texts: Sequence[list[str]], labels: np.ndarray, seed: int) -> Network
 
 def train(rows: Sequence[tuple[str, int]], share: float, seed: int = 7) -> Network:
     """Trains on labelled texts; ``share`` of label 1 among all texts sets the curve."""
-    texts, labels = [words_of(t) for t, _ in rows], np.array([y for _, y in rows], np.int64)
+    once: dict[str, str] = {}  # words repeat: a word is one string for all texts, or they would take many times their bytes
+    texts, labels = [[once.setdefault(w, w) for w in words_of(t)] for t, _ in rows], np.array([y for _, y in rows], np.int64)
     net = _fresh(texts, labels, seed)
     if len(set(labels.tolist())) < 2:
         net.curve, net.nothing = (0.0, float(np.log(share / (1 - share)))), 0.0
         return net
+    net._most = REMEMBERED_THERE
     rng, trainer = np.random.default_rng(seed), _Trainer(net)
     odds = {w: float(net.word[zlib.crc32(b"<" + w.encode() + b">") % BUCKETS, 0]) for w in {w for ws in texts for w in ws}}
     starts = [window_starts(len(ws)) for ws in texts]
@@ -293,8 +304,8 @@ def train(rows: Sequence[tuple[str, int]], share: float, seed: int = 7) -> Netwo
         top.append(max(s, key=lambda a, n=len(ws), sums=sums: sums[min(n, a + WINDOW)] - sums[a]) if s else None)
     for epoch in range(EPOCHS):
         if epoch in CHOOSE:
-            net._rows.clear()
             logit, owner, first = net.windows(texts)
+            net.forget()
             order = np.lexsort((first, -logit, owner))
             owners, at = np.unique(owner[order], return_index=True)
             for k, i in zip(owners, order[at], strict=True):
@@ -315,8 +326,8 @@ def train(rows: Sequence[tuple[str, int]], share: float, seed: int = 7) -> Netwo
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
             trainer.batch([chosen[i] for i in part], marks[part], weight[part])
-    net._rows.clear()
-    found = net.logits([t for t, _ in rows])
+    found = net.highest(texts)
+    net.forget()
     some = np.array([bool(ws) for ws in texts])
     net.nothing = float(np.quantile(found[some & (labels == 0)], 0.05)) if (some & (labels == 0)).any() else -4.0
     net.curve = fit_logistic(np.clip(found, -12, 12), labels, prior_weights(labels, share))

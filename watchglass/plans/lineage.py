@@ -1,13 +1,16 @@
-"""Cutting lineage where a plan would grow with each round of a loop."""
+"""Cutting lineage where a plan would grow with each round of a loop, and letting go of what earlier plans took."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,3 +60,33 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         remove(spark, _open.pop())
+
+
+def give_back(spark: SparkSession) -> bool:
+    """Hands memory that the driver has freed back to the system; whether its JVM did.
+
+    Compiling plans takes and frees much memory outside of Java's heap, and the C library keeps what is freed. A JVM
+    or a C library that can't be asked keeps it as before.
+    """
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+
+    def array(kind: str, *values: object) -> object:
+        made = gateway.new_array(getattr(jvm.java.lang, kind), len(values))
+        for i, value in enumerate(values):
+            made[i] = value
+        return made
+
+    try:  # what "jcmd ... System.trim_native_heap" does; through the interface, as the server's own class isn't public
+        named = jvm.java.lang.Class.forName
+        kinds = map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", array("Class", *kinds))
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return str(invoke.invoke(server, array("Object", commands, "systemTrimNativeHeap", None, None))).startswith("Trim native heap")
+    except Py4JError:
+        return False
